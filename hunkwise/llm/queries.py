@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from hunkwise.llm import line_dedup, packing, token_counts, url_filter, warc
+from hunkwise.llm import cws, line_dedup, packing, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_fingerprints": cws.op1_fingerprints,
+    "op3_simhash": simhash.op3_simhash,
     "op5_packing": packing.op5_packing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_warc": warc.op8_warc,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
