@@ -12,6 +12,7 @@ sentences, so they count once.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -257,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("marginal", T.DoubleType())])
 _OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T.ArrayType(SPAN))])
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -266,13 +267,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     The whole text is scored, and nothing else. A null or empty text has the score of a text without toxic words. Columns of
     these names are replaced, others pass; repeated rows get equal scores; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(texts):
-        if sent.id not in _scorers:
+        if name not in _scorers:
             _scorers.clear()
-            _scorers[sent.id] = sent.value.scorer()
-        scorer = _scorers[sent.id]
+            _scorers[name] = sent.value.scorer()
+        scorer = _scorers[name]
         texts = [t or "" for t in texts]
         found = scorer.word_marginals(texts)
         scores = [scorer.score(p) for p in found]
