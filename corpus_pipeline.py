@@ -3,10 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hunkwise.llm import common
+from hunkwise.llm import common, decontamination, line_dedup, packing, simhash, toxicity
 
-STAGES = []
+
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field doesn't call toxic; it learns from the labelled ones among docs."""
+    model = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten of them share; n_chars follows the text. A document that loses all keeps its row."""
+    out = line_dedup.dedup_lines(docs, min_docs=10, min_length=1)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return simhash.deduplicate(docs).select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequences: pieces of documents, with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", clean_of_toxicity),
+    ("line_dedup", without_common_lines),
+    ("near_dedup", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
 #: SQL cannot express the conditional random field, SimHash or the tokenizer; the tests hold run() against brute force.
 ORACLE_SQL = None

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hunkwise.llm import cws, decontamination, line_dedup, packing, simhash, token_counts, toxicity, url_filter, warc
+from hunkwise.llm import cws, decontamination, line_dedup, packing, pii, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_fingerprints": cws.op1_fingerprints,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_simhash": simhash.op3_simhash,
+    "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_line_dedup": line_dedup.op7_line_dedup,

@@ -132,6 +132,15 @@ def link_components(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK
     return connected_components(both).withColumnsRenamed({"node": "simhash"})
 
 
+def _named(prints: DataFrame, radius: int, least: Column) -> DataFrame:
+    """(simhash, first) of all fingerprints in prints: the smallest `least` of any row of the component."""
+    classes = prints.groupBy("simhash").agg(F.min(least).alias("least"))
+    linked = link_components(classes.select("simhash"), radius)
+    of = classes.join(linked, "simhash", "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
+    first = of.groupBy("component").agg(F.min("least").alias("first"))
+    return common.stored(of.join(first, "component").select("simhash", "first"), "classes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_column: str = "doc_id") -> DataFrame:
     """(id, simhash, component_id), one row for each row of docs; component_id is the smallest id that links reach.
 
@@ -140,12 +149,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
     one class; other columns are left out; an empty table gives an empty result.
     """
     prints = common.stored(with_fingerprint(docs.select(F.col(id_column).alias("__id"), "text"), size, keep=["__id"]), "simhashes")
-    classes = prints.groupBy("simhash").agg(F.min("__id").alias("least"))
-    linked = link_components(classes.select("simhash"), radius)
-    of = classes.join(linked, "simhash", "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
-    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = common.stored(of.join(ids, "component").select("simhash", "component_id"), "classes")
-    return prints.join(named, "simhash").select(F.col("__id").alias(id_column), "simhash", "component_id")
+    named = _named(prints, radius, F.col("__id"))
+    return prints.join(named, "simhash").select(F.col("__id").alias(id_column), "simhash", F.col("first").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_column: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: that of the smallest id (nulls last), then of the smallest row hash."""
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
+    rows = common.drop_clashes(docs, ["__row"]).withColumn("__row", whole)
+    prints = common.stored(with_fingerprint(rows.select(F.col(id_column).alias("__id"), "__row", "text"), size, keep=["__id", "__row"]), "simhashes")
+    named = _named(prints, radius, F.struct(F.col("__id").isNull(), "__id", "__row"))
+    first = common.stored(named.select(F.col("first.__row").alias("__row")).distinct(), "firsts")
+    out = rows.join(first, "__row", "left_semi")
+    if prints.join(first, "__row", "left_semi").count() > first.count():  # some row is there twice
+        out = out.dropDuplicates(["__row"])
+    return out.drop("__row")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
