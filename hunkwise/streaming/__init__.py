@@ -1 +1,2 @@
-
+"""Nothing here needs streams of its own. Validation, normal scope and projections go row by row, so operators.issues.issues_of,
+validate and normal_scope run on a streaming DataFrame as they are; see tests/test_streaming.py."""
