@@ -30,5 +30,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """Names of files, without reading them."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "modificationTime", "length")
+    """(name, length) of the files of one folder, empty ones too, on any file system; none is read. The driver lists, as for any read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return spark.createDataFrame([(f.getPath().getName(), f.getLen()) for f in found if f.isFile()], "name string, length bigint")
