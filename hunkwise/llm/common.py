@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +92,10 @@ _KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType
 def fields(ddl: str) -> T.StructType:
     """A schema of plain types, made without a session, so that modules and executors can have it."""
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64: a bijection of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -24,21 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hunkwise.llm import common
+from hunkwise.llm.common import mix64
 
 SAMPLES, SHINGLE = 64, 5
 _POOL, _CHUNK = 1 << 16, 2048
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _uniform(stream: int, n: int) -> np.ndarray:
     at = np.arange(1, n + 1, dtype=np.uint64) + np.uint64(stream << 32)
-    return ((_mix(at * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+    return ((mix64(at * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
 class Words(dict):
@@ -74,7 +68,7 @@ class Sampler:
         hashes = np.zeros(len(words) + n, np.uint64)
         hashes[n:] = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
         runs = sum(hashes[i : i + len(words)] * p for i, p in enumerate(self.powers))
-        return np.unique(_mix(runs), return_counts=True)
+        return np.unique(mix64(runs), return_counts=True)
 
     def _hash(self, terms: np.ndarray) -> np.ndarray:
         h = terms.astype(np.uint32) * self.mul
@@ -107,7 +101,7 @@ class Sampler:
                     least = ln_a.argmin(axis=1)
                     value, level = ln_a[self.rows, least], t[self.rows, least].astype(np.int64).astype(np.uint64)
                 better = value < best
-                code = (_mix(x[least] + level * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+                code = (mix64(x[least] + level * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
                 out[better], best[better] = code[better], value[better]
         return out
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hunkwise.llm import common
+from hunkwise.llm.common import mix64
 from hunkwise.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -132,15 +133,6 @@ def link_components(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK
     return connected_components(both).withColumnsRenamed({"node": "simhash"})
 
 
-def _named(prints: DataFrame, radius: int, least: Column) -> DataFrame:
-    """(simhash, first) of all fingerprints in prints: the smallest `least` of any row of the component."""
-    classes = prints.groupBy("simhash").agg(F.min(least).alias("least"))
-    linked = link_components(classes.select("simhash"), radius)
-    of = classes.join(linked, "simhash", "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
-    first = of.groupBy("component").agg(F.min("least").alias("first"))
-    return common.stored(of.join(first, "component").select("simhash", "first"), "classes")
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_column: str = "doc_id") -> DataFrame:
     """(id, simhash, component_id), one row for each row of docs; component_id is the smallest id that links reach.
 
@@ -149,19 +141,74 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
     one class; other columns are left out; an empty table gives an empty result.
     """
     prints = common.stored(with_fingerprint(docs.select(F.col(id_column).alias("__id"), "text"), size, keep=["__id"]), "simhashes")
-    named = _named(prints, radius, F.col("__id"))
-    return prints.join(named, "simhash").select(F.col("__id").alias(id_column), "simhash", F.col("first").alias("component_id"))
+    classes = prints.groupBy("simhash").agg(F.min("__id").alias("least"))
+    linked = link_components(classes.select("simhash"), radius)
+    of = classes.join(linked, "simhash", "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
+    first = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = common.stored(of.join(first, "component").select("simhash", "component_id"), "classes")
+    return prints.join(named, "simhash").select(F.col("__id").alias(id_column), "simhash", "component_id")
+
 
+def _sketch(text: str | None, seeds: int, size: int) -> tuple[int, list[int], bytes]:
+    """A text's hash, its fingerprints over distinct words, one for each seed, and its distinct word shingles as sorted 32-bit hashes."""
+    words = np.unique(shingle_hashes(text, 1))
+    prints = [fingerprint(mix64(words + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))) if len(words) else 0 for s in range(seeds)]
+    shingles = np.unique(shingle_hashes(text, size).astype("<u4"))
+    return xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63), prints, shingles.tobytes()
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_column: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (nulls last), then of the smallest row hash."""
+
+def similar_links(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) of texts (node, shingles) whose shingle sets have a Jaccard similarity of the threshold or more."""
+    a, b = (texts.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= threshold * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return links.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(judge, "a bigint, b bigint")
+
+
+def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 6, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest id (nulls last), then of the smallest row hash.
+
+    Near copies differ in a few words, which touch five shingles each, so candidates come from fingerprints over distinct words,
+    which such edits move little: texts meet in a covering table if any of `seeds` independent fingerprints differs in `radius`
+    bits at most. A link needs the exact similarity of their word shingles. A text is first compared with the least of all texts
+    that it meets; then the least and greatest text of each bucket with all others there that are of another component. Texts
+    without words are copies of each other; an empty table gives an empty result.
+    """
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
     rows = common.drop_clashes(docs, ["__row"]).withColumn("__row", whole)
-    prints = common.stored(with_fingerprint(rows.select(F.col(id_column).alias("__id"), "__row", "text"), size, keep=["__id", "__row"]), "simhashes")
-    named = _named(prints, radius, F.struct(F.col("__id").isNull(), "__id", "__row"))
-    first = common.stored(named.select(F.col("first.__row").alias("__row")).distinct(), "firsts")
-    out = rows.join(first, "__row", "left_semi")
-    if prints.join(first, "__row", "left_semi").count() > first.count():  # some row is there twice
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
+    sketch = lambda texts: list(zip(*[_sketch(t, seeds, size) for t in texts], strict=True)) or [[], [], []]
+    found = common.map_columns(rows.select(F.col(id_column).alias("__id"), "__row", "text"), schema, ["text"], sketch, keep=["__id", "__row"])
+    prints = common.stored(found, "sketches")
+    split = prints.select("node", *[F.get("prints", F.lit(i)).alias(f"p{i}") for i in range(seeds)])
+    nodes = split.groupBy("node").agg(*[F.min(f"p{i}").alias(f"p{i}") for i in range(seeds)])
+    masks = covering_masks(radius)
+    tables = F.array(*[F.struct(F.lit(i * len(masks) + k).alias("t"), F.col(f"p{i}").bitwiseAND(F.lit(m)).alias("key")) for i in range(seeds) for k, m in enumerate(masks)])
+    met = nodes.select("node", F.explode(tables).alias("b")).select("node", "b.t", "b.key")
+    ends = met.groupBy("t", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    members = common.stored(met.join(ends, ["t", "key"]).groupBy("node", "low", "high").agg(F.lit(1).alias("one")).drop("one"), "buckets")
+    needed = members.select("node").union(members.select("low")).union(members.select("high")).distinct()
+    texts = common.stored(prints.select("node", "shingles").join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    least = members.groupBy("node").agg(F.min("low").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")
+    first = common.stored(similar_links(least, texts, threshold), "links")
+    of = common.stored(connected_components(first), "components")
+    others = members.select(F.col("node").alias("a"), F.col("low").alias("b")).union(members.select("node", "high")).filter("a <> b").distinct().join(least, ["a", "b"], "left_anti")
+    mine, theirs = (of.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    apart = others.join(mine, "a", "left").join(theirs, "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    linked = connected_components(first.union(similar_links(apart, texts, threshold))).withColumnRenamed("component", "group")
+    heads = prints.select("node", F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__row").alias("head")).groupBy("node").agg(F.min("head").alias("head"))
+    groups = heads.join(linked, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("head").alias("head"))
+    kept = common.stored(groups.select(F.col("head.__row").alias("__row")).distinct(), "heads")
+    out = rows.join(kept, "__row", "left_semi")
+    if prints.join(kept, "__row", "left_semi").count() > kept.count():  # some row is there twice
         out = out.dropDuplicates(["__row"])
     return out.drop("__row")
 
