@@ -67,18 +67,20 @@ def locate_passages(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id
     """
     rows = passages.select(key, forms(F.col("text")).alias("forms")).filter(F.size("forms") > 0)
     sized = rows.select(key, "forms", F.aggregate("forms", F.lit(0), lambda n, f: n + F.length(f["norm"]) + F.length(f["compact"])).alias("size"))
-    blocks, now, held = [], [], 0
-    for r in sized.toLocalIterator():  # block by block; a block is bounded
+    out, now, held = None, [], 0
+
+    def search(block_rows: list) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(block_rows)  # kept in a file, not in the driver's memory
+        kinds = [f"{doc_key} {docs.schema[doc_key].dataType.simpleString()}", f"{key} {passages.schema[key].dataType.simpleString()}"]
+        part = docs.select(doc_key, "text").mapInArrow(_search(sent, doc_key, key, docs.schema[doc_key].dataType, passages.schema[key].dataType), ", ".join([*kinds, "n_lines int", "first_line int"]))
+        return part if out is None else out.unionByName(part)
+
+    for r in sized.toLocalIterator():  # one block is held at a time
         if now and held + r["size"] > block:
-            blocks.append(now)
-            now, held = [], 0
+            out, now, held = search(now), [], 0
         now.append((r[key], [(f["norm"], f["compact"]) for f in r["forms"]]))
         held += r["size"]
-    out = None
-    for own in [*blocks, now]:
-        sent = docs.sparkSession.sparkContext.broadcast(own)
-        part = docs.select(doc_key, "text").mapInArrow(_search(sent, doc_key, key, docs.schema[doc_key].dataType, passages.schema[key].dataType), f"{doc_key} {docs.schema[doc_key].dataType.simpleString()}, {key} {passages.schema[key].dataType.simpleString()}, n_lines int, first_line int")
-        out = part if out is None else out.unionByName(part)
+    out = search(now)
     return out.withColumn("outcome", F.when(F.col("n_lines") == 1, "unique").otherwise("ambiguous"))
 
 

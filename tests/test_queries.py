@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from hunkwise import queries
+from hunkwise.plans.passages import locate_passages
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,6 +32,13 @@ def test_query(spark, duck, small, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_passages_in_blocks(spark, small):
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(locate_passages(docs, items).collect())
+    assert sorted(locate_passages(docs, items, block=2000).collect()) == whole and len(whole) == 21
+    assert locate_passages(docs, items.limit(0)).count() == 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 21
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from hunkwise.functions.http import error_status
+from hunkwise.functions.http import duration_ms, error_status, request_id
 from hunkwise.operators import housekeeping, projections, publish
 from hunkwise.sources import captured, model, settings, sinks
 from hunkwise.sources.rest import PagedRest, error_of, page_rows
@@ -106,3 +106,8 @@ def test_pages_end_at_an_empty_one(spark):
 def test_missing_inputs(spark):
     asked = spark.createDataFrame([("a", 1), ("b", 2)], "issue_key string, mr_iid int")
     assert [r.issue_key for r in projections.missing_inputs(asked, asked.filter("mr_iid = 1")).collect()] == ["b"]
+
+
+def test_request_ids_and_durations(spark):
+    rows = spark.createDataFrame([("a", 1.23456), ("", 0.5), (None, 0.0)], "h string, s double").select(request_id(F.col("h")).alias("i"), duration_ms(F.col("s")).alias("d")).collect()
+    assert rows[0].i == "a" and len(rows[1].i) == len(rows[2].i) == 36 and [r.d for r in rows] == [1234.56, 500.0, 0.0]
