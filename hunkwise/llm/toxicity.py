@@ -250,7 +250,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     by = F.xxhash64(F.col("doc_id"))
     picked = [usable.filter(F.col("toxic") == y).orderBy(by, "doc_id").limit(sample[y]).collect() for y in (0, 1)]
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for rows in picked for r in rows], T.StructType([usable.schema["doc_id"], T.StructField("toxic", T.IntegerType())]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()  # as many ids as the sample has
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # as many ids as the sample has
+    rows = rows.orderBy(by, "doc_id", "text").limit(sum(sample)).collect()  # an id may have many rows
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     mine = Counter(r.toxic for r in rows)
     return fit_model([r.text or "" for r in rows], [r.toxic for r in rows], [counts[r.toxic] / mine[r.toxic] for r in rows], counts.get(1, 0) / sum(counts.values()))
