@@ -149,12 +149,50 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
     return prints.join(named, "simhash").select(F.col("__id").alias(id_column), "simhash", "component_id")
 
 
-def _sketch(text: str | None, seeds: int, size: int) -> tuple[int, list[int], bytes]:
-    """A text's hash, its fingerprints over distinct words, one for each seed, and its distinct word shingles as sorted 32-bit hashes."""
+def word_prints(text: str | None, seeds: int) -> list[int]:
+    """A text's fingerprints over its distinct words, one for each seed; 0 for a text without words."""
     words = np.unique(shingle_hashes(text, 1))
-    prints = [fingerprint(mix64(words + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))) if len(words) else 0 for s in range(seeds)]
-    shingles = np.unique(shingle_hashes(text, size).astype("<u4"))
-    return xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63), prints, shingles.tobytes()
+    return [fingerprint(mix64(words + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))) if len(words) else 0 for s in range(seeds)]
+
+
+def leader_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) within buckets of rows (bucket, node, print) sorted by bucket: b leads a.
+
+    A print that is within the radius of no earlier leader of its bucket leads from there on; any other is linked to the first
+    such leader. Each round settles one leader in all buckets of a batch at once; only the last bucket's leaders are held.
+    """
+    last, leaders = None, []
+    for batch in batches:
+        bucket, node, prints = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(bucket):
+            continue
+        if bucket[0] != last:
+            leaders = []
+        a, b, left, last = [], [], np.arange(len(bucket)), bucket[-1]
+        head = int(np.searchsorted(bucket != bucket[0], True)) if leaders else 0
+        for who, led in leaders:
+            near = (left < head) & (np.bitwise_count(prints[left] ^ led) <= radius)
+            a.append(node[left[near]])
+            b.append(np.full(int(near.sum()), who))
+            left = left[~near]
+        if bucket[0] != last:
+            leaders = []
+        while len(left):
+            starts = np.flatnonzero(np.append(True, bucket[left[1:]] != bucket[left[:-1]]))
+            lead = np.repeat(left[starts], np.diff(np.append(starts, len(left))))
+            if bucket[left[starts[-1]]] == last:
+                leaders.append((node[left[starts[-1]]], prints[left[starts[-1]]]))
+            near = np.bitwise_count(prints[left] ^ prints[lead]) <= radius
+            pairs = near & (left != lead)
+            a.append(node[left[pairs]])
+            b.append(node[lead[pairs]])
+            left = left[~near]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def _sized(df: DataFrame, limit: int) -> DataFrame:
+    """A stored table of keys, to be broadcast if it has no more than limit rows."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def similar_links(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -173,42 +211,58 @@ def similar_links(links: DataFrame, texts: DataFrame, threshold: float) -> DataF
     return links.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(judge, "a bigint, b bigint")
 
 
-def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 6, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id") -> DataFrame:
+def candidate_links(prints: DataFrame, seeds: int, radius: int) -> DataFrame:
+    """Links (a, b) of nodes in prints (node, p0, p1, ...), one for each print, that differ in `radius` bits of some print at most.
+
+    Nodes of one print are linked to the least and the greatest of them; the least then stands for all in the covering tables,
+    so that a bucket has no more rows than distinct prints. There, each is linked to the first leader within the radius.
+    """
+    each = prints.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"p{i}").alias("print")) for i in range(seeds)])).alias("x")).select("node", "x.seed", "x.print")
+    classes = common.stored(each.groupBy("seed", "print").agg(F.min("node").alias("low"), F.max("node").alias("high")), "classes")
+    inside = each.join(classes.filter("low <> high"), ["seed", "print"])
+    same = inside.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    keys = F.array(*[F.xxhash64(F.col("seed"), F.lit(k), F.col("print").bitwiseAND(F.lit(m))) for k, m in enumerate(covering_masks(radius))])
+    tables = classes.select(F.explode(keys).alias("bucket"), F.col("low").alias("node"), "print").repartition("bucket").sortWithinPartitions("bucket", "node")
+    met = tables.mapInArrow(lambda batches: leader_links(batches, radius), "a bigint, b bigint")
+    return same.union(met).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 6, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id (nulls last), then of the smallest row hash.
 
     Near copies differ in a few words, which touch five shingles each, so candidates come from fingerprints over distinct words,
     which such edits move little: texts meet in a covering table if any of `seeds` independent fingerprints differs in `radius`
-    bits at most. A link needs the exact similarity of their word shingles. A text is first compared with the least of all texts
-    that it meets; then the least and greatest text of each bucket with all others there that are of another component. Texts
-    without words are copies of each other; an empty table gives an empty result.
+    bits at most. A link needs the exact similarity of their word shingles. A text's link to the least candidate is verified
+    first, then the links that span two components. Shingles are made of linked texts only. Up to `broadcast_rows` keys, linked
+    and dropped rows are found by a broadcast join, beyond that by a shuffled one. Texts without words are copies of each other;
+    an empty table gives an empty result.
     """
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
     rows = common.drop_clashes(docs, ["__row"]).withColumn("__row", whole)
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
-    sketch = lambda texts: list(zip(*[_sketch(t, seeds, size) for t in texts], strict=True)) or [[], [], []]
-    found = common.map_columns(rows.select(F.col(id_column).alias("__id"), "__row", "text"), schema, ["text"], sketch, keep=["__id", "__row"])
-    prints = common.stored(found, "sketches")
-    split = prints.select("node", *[F.get("prints", F.lit(i)).alias(f"p{i}") for i in range(seeds)])
-    nodes = split.groupBy("node").agg(*[F.min(f"p{i}").alias(f"p{i}") for i in range(seeds)])
-    masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(i * len(masks) + k).alias("t"), F.col(f"p{i}").bitwiseAND(F.lit(m)).alias("key")) for i in range(seeds) for k, m in enumerate(masks)])
-    met = nodes.select("node", F.explode(tables).alias("b")).select("node", "b.t", "b.key")
-    ends = met.groupBy("t", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    members = common.stored(met.join(ends, ["t", "key"]).groupBy("node", "low", "high").agg(F.lit(1).alias("one")).drop("one"), "buckets")
-    needed = members.select("node").union(members.select("low")).union(members.select("high")).distinct()
-    texts = common.stored(prints.select("node", "shingles").join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    least = members.groupBy("node").agg(F.min("low").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")
+    sent = rows.select(F.col(id_column).alias("__id"), "__row", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    schema = T.StructType([T.StructField(f"p{i}", T.LongType()) for i in range(seeds)])
+    sketch = lambda texts: list(zip(*[word_prints(t, seeds) for t in texts], strict=True)) or [[]] * seeds
+    prints = common.stored(common.map_columns(sent, schema, ["text"], sketch, keep=["__id", "__row", "node"]), "prints")
+    head = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__row")).alias("head")
+    nodes = common.stored(prints.groupBy("node").agg(*[F.min(f"p{i}").alias(f"p{i}") for i in range(seeds)], head), "nodes")
+    links = common.stored(candidate_links(nodes, seeds, radius), "candidates")
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = common.stored(nodes.join(linked, "node", "left_semi").select("head.__row"), "needed")
+    of = T.StructType([T.StructField("shingles", T.BinaryType())])
+    packed = lambda texts: [[np.unique(shingle_hashes(t, size).astype("<u4")).tobytes() for t in texts]]
+    some = sent.select("__row", "node", "text").join(_sized(needed, broadcast_rows), "__row", "left_semi")
+    texts = common.stored(common.map_columns(some, of, ["text"], packed, keep=["node"]).dropDuplicates(["node"]), "texts")
+    least = links.groupBy("a").agg(F.min("b").alias("b"))
     first = common.stored(similar_links(least, texts, threshold), "links")
-    of = common.stored(connected_components(first), "components")
-    others = members.select(F.col("node").alias("a"), F.col("low").alias("b")).union(members.select("node", "high")).filter("a <> b").distinct().join(least, ["a", "b"], "left_anti")
-    mine, theirs = (of.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    apart = others.join(mine, "a", "left").join(theirs, "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    linked = connected_components(first.union(similar_links(apart, texts, threshold))).withColumnRenamed("component", "group")
-    heads = prints.select("node", F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__row").alias("head")).groupBy("node").agg(F.min("head").alias("head"))
-    groups = heads.join(linked, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("head").alias("head"))
-    kept = common.stored(groups.select(F.col("head.__row").alias("__row")).distinct(), "heads")
-    out = rows.join(kept, "__row", "left_semi")
-    if prints.join(kept, "__row", "left_semi").count() > kept.count():  # some row is there twice
+    known = common.stored(connected_components(first), "components")
+    mine, theirs = (known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    apart = links.join(least, ["a", "b"], "left_anti").join(mine, "a", "left").join(theirs, "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    groups = connected_components(first.union(similar_links(apart, texts, threshold))).withColumnRenamed("component", "group")
+    named = nodes.select("node", "head").join(groups, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("head").alias("head"))
+    kept = common.stored(named.select(F.col("head.__row").alias("__row")).distinct(), "heads")
+    dropped = common.stored(prints.select("__row").join(kept, "__row", "left_anti"), "dropped")
+    out = rows.join(_sized(dropped, broadcast_rows), "__row", "left_anti")
+    if prints.count() - dropped.count() > kept.count():  # some row is there twice
         out = out.dropDuplicates(["__row"])
     return out.drop("__row")
 

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,32 @@ def test_deduplicate(spark):
     assert simhash.deduplicate(df).columns == df.columns and simhash.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 7, 64, 1000])
+def test_leaders_of_buckets(rows):
+    rng = random.Random(15)
+    table = []
+    for bucket, n in ((-5, 1), (2, 200), (3, 1), (9, 40)):
+        centres = [rng.getrandbits(63) for _ in range(3)]
+        table += [(bucket, node, rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(60), rng.randrange(5)))) for node in range(n)]
+    cols = [pa.array(c, pa.int64()) for c in zip(*table, strict=True)]
+    whole = pa.RecordBatch.from_arrays(cols, names=["bucket", "node", "print"])
+    got = sorted((a, b) for batch in simhash.leader_links((whole.slice(i, rows) for i in range(0, len(table), rows)), 3) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    want, led = [], {}
+    for bucket, node, fp in table:
+        near = [n for n, f in led.setdefault(bucket, []) if (f ^ fp).bit_count() <= 3]
+        if near:
+            want.append((node, near[0]))
+        else:
+            led[bucket].append((node, fp))
+    assert got == sorted(want) and len(want) > 100
+
+
+def test_deduplicate_without_broadcasts(spark):
+    texts = ["a b c d e f g"] * 3 + ["h i j k l m n", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(df, broadcast_rows=0).collect()) == [0, 3, 4]
+
+
 def test_every_near_pair_meets_in_a_table():
     rng, masks = random.Random(5), [m & (2**64 - 1) for m in simhash.covering_masks(4)]
     assert len(masks) == 31
