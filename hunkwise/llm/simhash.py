@@ -227,7 +227,7 @@ def candidate_links(prints: DataFrame, seeds: int, radius: int) -> DataFrame:
     return same.union(met).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 6, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 8, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id (nulls last), then of the smallest row hash.
 
     Near copies differ in a few words, which touch five shingles each, so candidates come from fingerprints over distinct words,
