@@ -89,6 +89,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.n
         yield tuple(held[keys:])
 
 
+def _distances(prints: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Differing bits of signed fingerprints; of a signed number NumPy would count the bits of its absolute value."""
+    return np.bitwise_count((prints ^ other).view(np.uint64))
+
+
 def _forest(fps: np.ndarray, comps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of near fingerprints that join the components of a block; stops once all are one."""
     names, of = np.unique(comps, return_inverse=True)
@@ -96,7 +101,7 @@ def _forest(fps: np.ndarray, comps: np.ndarray, radius: int) -> list[tuple[int,
     for i in range(len(fps)):
         if left == 1:
             break
-        hit = (np.bitwise_count(fps ^ fps[i]) <= radius) & (of != of[i])
+        hit = (_distances(fps, fps[i]) <= radius) & (of != of[i])
         while hit.any():
             j = int(np.flatnonzero(hit)[0])
             links.append((int(fps[i]), int(fps[j])))
@@ -171,7 +176,7 @@ def leader_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         a, b, left, last = [], [], np.arange(len(bucket)), bucket[-1]
         head = int(np.searchsorted(bucket != bucket[0], True)) if leaders else 0
         for who, led in leaders:
-            near = (left < head) & (np.bitwise_count(prints[left] ^ led) <= radius)
+            near = (left < head) & (_distances(prints[left], led) <= radius)
             a.append(node[left[near]])
             b.append(np.full(int(near.sum()), who))
             left = left[~near]
@@ -182,7 +187,7 @@ def leader_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
             lead = np.repeat(left[starts], np.diff(np.append(starts, len(left))))
             if bucket[left[starts[-1]]] == last:
                 leaders.append((node[left[starts[-1]]], prints[left[starts[-1]]]))
-            near = np.bitwise_count(prints[left] ^ prints[lead]) <= radius
+            near = _distances(prints[left], prints[lead]) <= radius
             pairs = near & (left != lead)
             a.append(node[left[pairs]])
             b.append(node[lead[pairs]])

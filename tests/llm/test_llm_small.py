@@ -205,6 +205,17 @@ def test_dense_buckets_in_blocks(spark, block):
     assert {p: got.get(p, p) for p in prints} == group
 
 
+@pytest.mark.parametrize("low", range(60, 63))
+def test_sign_bit_is_a_bit(low):
+    flips = [1 << low, 1 << 63, 1 << 63 | 1 << low, 1 << 63 | 1 << low | 1]
+    near = np.array([0x0123456789ABCDEF, *[0x0123456789ABCDEF ^ f for f in flips]], np.uint64).view(np.int64)
+    assert len(simhash._forest(near, np.arange(5), 3)) == 4
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([7] * (b - a), range(a, b), near[a:b])], names=["bucket", "node", "print"])
+    for cuts in ([0, 5], [0, 1, 3, 5]):  # within a batch, and against leaders of an earlier one
+        links = [x for got in simhash.leader_links((batch(a, b) for a, b in zip(cuts, cuts[1:])), 3) for x in got.column(0).to_pylist()]
+        assert sorted(links) == [1, 2, 3, 4]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 30), (30, 31), (5, 5)] + [(1000, i) for i in range(200, 260)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
