@@ -17,7 +17,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ from hunkwise.llm.components import connected_components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Classes of a block; a bucket of more is compared block by block.
 BLOCK = 16_384
+#: Texts of a block of near-dedup, where pairs between components are compared.
+PAIR_BLOCK = 2_048
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -216,31 +218,90 @@ def similar_links(links: DataFrame, texts: DataFrame, threshold: float) -> DataF
     return links.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(judge, "a bigint, b bigint")
 
 
-def candidate_links(prints: DataFrame, seeds: int, radius: int) -> DataFrame:
-    """Links (a, b) of nodes in prints (node, p0, p1, ...), one for each print, that differ in `radius` bits of some print at most.
+def print_buckets(prints: DataFrame, seeds: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of nodes in prints (node, p0, p1, ...): (node, seed, print), the classes of equal prints, and the buckets that classes share.
 
-    Nodes of one print are linked to the least and the greatest of them; the least then stands for all in the covering tables,
-    so that a bucket has no more rows than distinct prints. There, each is linked to the first leader within the radius.
+    A class (seed, print, low, high) has its least and greatest node; a bucket (bucket, node, seed, print) of the covering
+    tables has a row a class, that of its least node. Buckets of one class are left out.
     """
     each = prints.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"p{i}").alias("print")) for i in range(seeds)])).alias("x")).select("node", "x.seed", "x.print")
     classes = common.stored(each.groupBy("seed", "print").agg(F.min("node").alias("low"), F.max("node").alias("high")), "classes")
+    keys = F.array(*[F.xxhash64(F.col("seed"), F.lit(k), F.col("print").bitwiseAND(F.lit(m))) for k, m in enumerate(covering_masks(radius))])
+    tables = classes.select(F.explode(keys).alias("bucket"), F.col("low").alias("node"), "seed", "print")
+    met = tables.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").drop("n")
+    return each, classes, common.stored(met, "buckets")
+
+
+def candidate_links(each: DataFrame, classes: DataFrame, buckets: DataFrame, radius: int) -> DataFrame:
+    """First links (a, b): nodes of one print to the least and the greatest of them, classes of a bucket to the first leader within the radius."""
     inside = each.join(classes.filter("low <> high"), ["seed", "print"])
     same = inside.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    keys = F.array(*[F.xxhash64(F.col("seed"), F.lit(k), F.col("print").bitwiseAND(F.lit(m))) for k, m in enumerate(covering_masks(radius))])
-    tables = classes.select(F.explode(keys).alias("bucket"), F.col("low").alias("node"), "print").repartition("bucket").sortWithinPartitions("bucket", "node")
+    tables = buckets.select("bucket", "node", "print").repartition("bucket").sortWithinPartitions("bucket", "node")
     met = tables.mapInArrow(lambda batches: leader_links(batches, radius), "a bigint, b bigint")
     return same.union(met).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def mixed_buckets(each: DataFrame, classes: DataFrame, buckets: DataFrame, known: DataFrame) -> DataFrame:
+    """(bucket, node, print, component, n) of all nodes in buckets, or classes, that hold nodes of several components; n is a bucket's size."""
+    mine = each.join(known, "node", "left").select("node", "seed", "print", F.coalesce("component", "node").alias("component"))
+    mine = common.stored(mine, "members")
+    sums = mine.groupBy("seed", "print").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
+    own = classes.filter("low <> high").select(F.xxhash64("seed", F.lit(-1), "print").alias("bucket"), "seed", "print")
+    rows = buckets.select("bucket", "seed", "print").union(own)
+    mixed = rows.join(sums, ["seed", "print"]).groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n")).filter("least <> most")
+    return rows.join(mixed.select("bucket", "n"), "bucket").join(mine, ["seed", "print"]).select("bucket", "node", "print", "component", "n")
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """1,024 bits: of how many shingles, odd or even, each remainder is. Those of two sets differ in no more bits than the sets in shingles."""
+    return np.packbits((np.bincount(shingles % 1024, minlength=1024) & 1).astype(np.uint8)).tobytes()
+
+
+def cross_links(rows: DataFrame, texts: DataFrame, radius: int, threshold: float, block: int = PAIR_BLOCK) -> DataFrame:
+    """All links (a, b) between components within the buckets of rows, of prints within the radius, that may have the threshold's similarity.
+
+    Buckets are compared in blocks of bounded size. Only pairs that cannot have the similarity, by the sizes of their shingle sets
+    or by a lower bound of their difference, are passed over.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.binary())], names=["node", "size", "odd"])
+
+    sizes = texts.select("node", "shingles").mapInArrow(sketch, "node bigint, size bigint, odd binary")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    blocks = rows.select("bucket", "node", "print", "component", part.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q")).join(sizes, "node")
+    blocks = blocks.select("bucket", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "node", "print", "component", "size", "odd")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, prints, comps, sizes, odd in _groups(batches, 3):
+            if (comps == comps[0]).all():
+                continue
+            bits = np.frombuffer(b"".join(odd), np.uint64).reshape(len(nodes), -1)
+            for i in range(len(nodes) - 1):
+                j = np.flatnonzero((comps[i + 1 :] != comps[i]) & (_distances(prints[i + 1 :], prints[i]) <= radius)) + i + 1
+                j = j[np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i]) - 1e-6]
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                j = j[(1 + threshold) * apart <= (1 - threshold) * (sizes[j] + sizes[i]) + 1e-6]
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[j], nodes[i])), pa.array(np.minimum(nodes[j], nodes[i]))], names=["a", "b"])
+
+    met = blocks.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node").mapInArrow(compare, "a bigint, b bigint")
+    return met.filter("a <> b").distinct()
+
+
 def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 8, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id (nulls last), then of the smallest row hash.
 
     Near copies differ in a few words, which touch five shingles each, so candidates come from fingerprints over distinct words,
     which such edits move little: texts meet in a covering table if any of `seeds` independent fingerprints differs in `radius`
     bits at most. A link needs the exact similarity of their word shingles. A text's link to the least candidate is verified
-    first, then the links that span two components. Shingles are made of linked texts only. Up to `broadcast_rows` keys, linked
-    and dropped rows are found by a broadcast join, beyond that by a shuffled one. Texts without words are copies of each other;
-    an empty table gives an empty result.
+    first, then other links to leaders that span two components, then all pairs of texts in buckets that still hold several: no
+    two groups are left with a pair that meets and is similar. Shingles are made of such texts only. Up to `broadcast_rows` keys,
+    linked and dropped rows are found by a broadcast join, beyond that by a shuffled one. Texts without words are copies of each
+    other; an empty table gives an empty result.
     """
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
     rows = common.drop_clashes(docs, ["__row"]).withColumn("__row", whole)
@@ -250,19 +311,27 @@ def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 8, size: int = 5,
     prints = common.stored(common.map_columns(sent, schema, ["text"], sketch, keep=["__id", "__row", "node"]), "prints")
     head = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__row")).alias("head")
     nodes = common.stored(prints.groupBy("node").agg(*[F.min(f"p{i}").alias(f"p{i}") for i in range(seeds)], head), "nodes")
-    links = common.stored(candidate_links(nodes, seeds, radius), "candidates")
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = common.stored(nodes.join(linked, "node", "left_semi").select("head.__row"), "needed")
+    each, classes, buckets = print_buckets(nodes, seeds, radius)
+    links = common.stored(candidate_links(each, classes, buckets, radius), "candidates")
     of = T.StructType([T.StructField("shingles", T.BinaryType())])
     packed = lambda texts: [[np.unique(shingle_hashes(t, size).astype("<u4")).tobytes() for t in texts]]
-    some = sent.select("__row", "node", "text").join(_sized(needed, broadcast_rows), "__row", "left_semi")
-    texts = common.stored(common.map_columns(some, of, ["text"], packed, keep=["node"]).dropDuplicates(["node"]), "texts")
+
+    def with_shingles(some: DataFrame) -> DataFrame:
+        needed = common.stored(nodes.join(some.select("node").distinct(), "node", "left_semi").select("head.__row"), "needed")
+        found = sent.select("__row", "node", "text").join(_sized(needed, broadcast_rows), "__row", "left_semi")
+        return common.stored(common.map_columns(found, of, ["text"], packed, keep=["node"]).dropDuplicates(["node"]), "texts")
+
+    texts = with_shingles(links.select(F.explode(F.array("a", "b")).alias("node")))
     least = links.groupBy("a").agg(F.min("b").alias("b"))
     first = common.stored(similar_links(least, texts, threshold), "links")
     known = common.stored(connected_components(first), "components")
     mine, theirs = (known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
     apart = links.join(least, ["a", "b"], "left_anti").join(mine, "a", "left").join(theirs, "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    groups = connected_components(first.union(similar_links(apart, texts, threshold))).withColumnRenamed("component", "group")
+    met = common.stored(first.union(similar_links(apart, texts, threshold)), "links")
+    mixed = common.stored(mixed_buckets(each, classes, buckets, common.stored(connected_components(met), "components")), "mixed")
+    texts = with_shingles(mixed)
+    more = similar_links(cross_links(mixed, texts, radius, threshold), texts, threshold)
+    groups = connected_components(met.union(more)).withColumnRenamed("component", "group")
     named = nodes.select("node", "head").join(groups, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("head").alias("head"))
     kept = common.stored(named.select(F.col("head.__row").alias("__row")).distinct(), "heads")
     dropped = common.stored(prints.select("__row").join(kept, "__row", "left_anti"), "dropped")

@@ -178,6 +178,19 @@ def test_deduplicate_without_broadcasts(spark):
     assert sorted(r.doc_id for r in simhash.deduplicate(df, broadcast_rows=0).collect()) == [0, 3, 4]
 
 
+@pytest.mark.parametrize("block", [5, simhash.PAIR_BLOCK])
+def test_similar_texts_behind_dissimilar_leaders(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.cross_links, "__defaults__", (block,))
+    rng, words = random.Random(16), [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(20):  # the same words in another order are not similar, but all their prints are equal or near
+        own = rng.sample(words, 300)
+        swapped = [*own[:100], own[101], own[100], *own[102:]]
+        texts += [" ".join(own), " ".join(swapped), " ".join([*own[:200], "new", *own[201:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == list(range(0, 60, 3))
+
+
 def test_every_near_pair_meets_in_a_table():
     rng, masks = random.Random(5), [m & (2**64 - 1) for m in simhash.covering_masks(4)]
     assert len(masks) == 31
