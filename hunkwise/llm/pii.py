@@ -1,10 +1,10 @@
 """PII (4): information-theoretic sanitisation, on DataFrame functions alone.
 
-Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Words near an entity may give it away even
-when it is gone. The corpus says how strongly: with p from document counts over all documents, a word t reveals an entity e by
+Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Words that go with an entity may give it away even
+when it is gone. The corpus says how strongly: with p from counts of different texts, whole ones, a word t reveals an entity e by
 PMI(t, e) = log2 p(t, e) / (p(t) p(e)) of the -log2 p(e) bits that e itself has. Words that reveal the share GENERALISE of it
-or more are generalised, and removed from the share REMOVE. A word must stand by an entity in SUPPORT different texts and contexts,
-so that one passage and its copies prove nothing.
+or more are generalised, and removed from the share REMOVE, wherever they stand. A word must go with an entity in SUPPORT different
+texts and contexts of the entity, so that one passage and its copies prove nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: Code points of context on either side of an entity.
 CONTEXT = 120
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-#: Words that may be flagged, up to this number, are sent to all executors; more are joined by shuffle.
+#: Keys of words, texts or rows, up to this number, are sent to all executors; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
 _GAPS = r"[\x00-/:-@\[-`{-\x7f]+"
 _WORD = r"[^\x00-/:-@\[-`{-\x7f]+"
@@ -97,50 +97,60 @@ def _entity(s: Column) -> Column:
     return F.xxhash64(s["kind"], F.when(s["kind"].isin("card", "phone"), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"])))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_TERMS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
 def find(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, __row, base and terms, both arrays of (start, rank, end, kind, value).
 
-    terms are the disclosing words near entities; their kind is term, and value what becomes of them (generalise or remove). A
-    null text is empty. Equal rows get equal results; other columns are left out; an empty table gives an empty result.
+    terms are the disclosing words, wherever they stand outside of entities; their kind is term, and value what becomes of them
+    (generalise or remove). A null text is empty. Equal rows get equal results; other columns are left out; an empty table gives
+    an empty result.
     """
     key = F.xxhash64("doc_id", "text")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__row", key)
+    texts = d.select("__row", F.xxhash64("text").alias("copy"), "text")
     d = base_spans(d)
-    around = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), F.greatest(F.lit(0), s["start"] - CONTEXT).alias("at"), F.substring("text", F.greatest(F.lit(0), s["start"] - CONTEXT) + 1, s["end"] - F.greatest(F.lit(0), s["start"] - CONTEXT) + CONTEXT).alias("context"), (s["end"] + CONTEXT < F.length("text")).alias("goes_on")))
-    d = d.withColumn("around", F.when(F.size("base") > 0, around))
+    start = lambda s: F.greatest(F.lit(0), s["start"] - CONTEXT)
+    around = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), F.xxhash64(F.substring("text", start(s) + 1, s["end"] - start(s) + CONTEXT)).alias("place")))
+    d = d.withColumn("around", F.when(F.size("base") > 0, F.array_distinct(around)))
     d = common.stored(d.select("doc_id", "__row", F.xxhash64("text").alias("copy"), "base", "around"), "pii-base")
 
-    near = d.filter("around is not null").select("__row", "copy", "base", F.explode("around").alias("a")).select("__row", "copy", "base", "a.*")
-    near = located(near, "context", _WORD, "words", F.lit(True)).withColumn("size", F.length("context"))
-    # A word that the context cuts is no word of it.
-    kept = F.filter("words", lambda w: ((w["start"] > 0) | (F.col("at") == 0)) & ((w["end"] < F.col("size")) | ~F.col("goes_on")) & (F.length(w["value"]) > 2))
-    words = near.select("__row", "copy", "base", "entity", F.xxhash64("context").alias("place"), "at", F.explode(kept).alias("w"))
-    words = words.select("__row", "copy", "base", "entity", "place", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    words = words.filter(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("base")
-    words = common.stored(words, "pii-words")
-
-    seen = words.groupBy("term", "entity", "place", "copy").agg(F.lit(1).alias("one"))
-    joint = seen.groupBy("term", "entity").agg(F.count_distinct("copy").alias("joint"), F.count_distinct("place").alias("places")).filter(F.least("places", "joint") >= SUPPORT)
-    joint = common.stored(joint, "pii-joint")
-    terms = joint.select("term").distinct()
-    small = terms.count() <= BROADCAST_TERMS
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    mine = F.array_distinct(F.split(F.lower("text"), _GAPS))
-    held = texts.select(F.xxhash64("text").alias("copy"), F.explode(mine).alias("term")).join(F.broadcast(terms) if small else terms, "term", "left_semi")
-    of_term = held.groupBy("term", "copy").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    of_entity = d.filter("around is not null").select("copy", F.explode("around.entity").alias("entity")).groupBy("entity", "copy").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    n = d.groupBy("copy").agg(F.lit(1).alias("one")).count()
-    told = joint.join(of_term, "term").join(of_entity, "entity")
+    # Each of c rows of one text counts 1/c, so that sums count different texts without a shuffle of their words.
+    copies = common.stored(d.groupBy("copy").agg(F.count("*").alias("c")), "pii-copies")
+    n = copies.count()
+    texts = texts.join(_small(copies.filter("c > 1")), "copy", "left").withColumn("weight", 1 / F.coalesce("c", F.lit(1)))
+    mine = F.explode(F.array_distinct(F.transform(F.split("text", _GAPS), lambda w: F.lower(w)))).alias("term")
+    of_term = texts.select("weight", mine).filter(F.length("term") > 2).groupBy("term").agg(F.round(F.sum("weight")).alias("term_docs"))
+    of_term = common.stored(of_term.filter(F.col("term_docs") >= SUPPORT), "pii-words")
+    # Of a text's contexts of an entity, SUPPORT tell whether there are so many in all.
+    entities = d.filter("around is not null").select("copy", F.explode("around").alias("a")).groupBy("copy", "a.entity").agg(F.slice(F.sort_array(F.collect_set("a.place")), 1, SUPPORT).alias("places"))
+    entities = common.stored(entities, "pii-entities")
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("entity_docs")).filter((F.col("entity_docs") >= SUPPORT) & (F.col("entity_docs") < n))
+    # A joint count is no more than entity_docs: a word in more texts than this cannot reveal the share.
+    most = F.col("entity_docs") * F.pow(F.lit(float(n)) / F.col("entity_docs"), 1 - GENERALISE) * (1 + 1e-9)
+    often = common.stored(entities.join(of_entity.withColumn("most", most), "entity"), "pii-often")
+    words = texts.join(_small(often.groupBy("copy").agg(F.max("most").alias("any"))), "copy").select("copy", "any", mine)
+    words = words.join(_small(of_term), "term").filter("term_docs <= any").drop("any")
+    words = words.groupBy("copy", "term").agg(F.max("term_docs").alias("term_docs"))
+    seen = words.join(often, "copy").filter("term_docs <= most").select("term", "entity", "term_docs", "entity_docs", F.posexplode("places").alias("i", "place"))
+    places = seen.groupBy("term", "entity", "place").agg(F.sum((F.col("i") == 0).cast("int")).alias("joint"), F.max("term_docs").alias("term_docs"), F.max("entity_docs").alias("entity_docs"))
+    joint = places.groupBy("term", "entity").agg(F.sum("joint").alias("joint"), F.count("*").alias("places"), F.max("term_docs").alias("term_docs"), F.max("entity_docs").alias("entity_docs"))
     pmi = F.log2(F.col("joint") * F.lit(float(n)) / (F.col("term_docs") * F.col("entity_docs")))
-    bits = F.log2(F.lit(float(n)) / F.col("entity_docs"))
-    told = told.withColumn("share", F.when(bits > 0, pmi / bits).otherwise(0.0)).filter(F.col("share") >= GENERALISE)
-    told = common.stored(told.select("term", "entity", "share"), "pii-terms")
+    told = joint.filter(F.least("places", "joint") >= SUPPORT).withColumn("share", pmi / F.log2(F.lit(float(n)) / F.col("entity_docs")))
+    told = common.stored(told.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE), "pii-terms")
 
-    flagged = words.join(told, ["term", "entity"]).groupBy("__row", "start", "end").agg(F.max("share").alias("share"))
+    hits = common.stored(texts.select("__row", mine).join(_small(told), "term", "left_semi").select("__row").distinct(), "pii-hits")
+    flagged = located(texts.join(_small(hits), "__row", "left_semi").select("__row", "text"), "text", _WORD, "words", F.lit(True))
+    # Of a bare column Spark would infer a filter and work out the places for each word anew.
+    flagged = flagged.select("__row", F.explode(F.filter("words", lambda w: F.length(w["value"]) > 2)).alias("w")).select("__row", "w.start", "w.end", F.lower("w.value").alias("term")).join(_small(told), "term")
     action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
-    flagged = flagged.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), action.alias("value")))).alias("terms"))
+    flagged = flagged.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), action.alias("value")))).alias("terms"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
-    return d.join(flagged, "__row", "left").select("doc_id", "__row", "base", F.coalesce("terms", none).alias("terms"))
+    outside = F.filter("terms", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    return d.join(flagged, "__row", "left").select("doc_id", "__row", "base", F.coalesce(outside, none).alias("terms"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

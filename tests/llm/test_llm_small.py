@@ -267,6 +267,17 @@ def test_disclosing_terms(spark):
     assert pii.find(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [pii.BROADCAST_TERMS, 0])
+def test_disclosing_terms_far_from_entities(spark, monkeypatch, bound):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+    far = " ".join(["filler words"] * 30)
+    rows = [(i, f"zeb@mail.example.com own{i} {far} Zebediah") for i in range(6)] + [(i, f"plain{i} {far}") for i in range(6, 60)] + [(60, "No address, yet zebediah is here")]
+    df = spark.createDataFrame([*rows, (70, rows[0][1]), rows[1]], "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: [dict(rows).get(r.doc_id, rows[0][1])[s.start : s.end] for s in r.terms] for r in pii.find(df).collect()}
+    assert found == {**{i: ["Zebediah"] for i in [*range(6), 70]}, **{i: [] for i in range(6, 60)}, 60: ["zebediah"]}
+    assert "zebediah" not in pii.sanitise(df).filter("doc_id = 60").first().text
+
+
 def test_pii_is_native(spark, small):
     plan = pii.op4_pii(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "MapInArrow" not in plan
