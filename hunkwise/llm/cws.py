@@ -39,7 +39,7 @@ class Words(dict):
     """Hashes of words met so far; emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -117,14 +117,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda x, y: x + y) / n
 
 
-_samplers: dict[tuple[int, int], Sampler] = {}
-
-
 def sampler(samples: int = SAMPLES, shingle: int = SHINGLE) -> Sampler:
     """One sampler for a worker process."""
-    if (samples, shingle) not in _samplers:
-        _samplers[samples, shingle] = Sampler(samples, shingle)
-    return _samplers[samples, shingle]
+    return common.held(f"sampler {samples} {shingle}", lambda: Sampler(samples, shingle))
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -134,7 +129,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, shingle: int
     replaced, others pass; repeated rows are kept; an empty table gives an empty result.
     """
     schema = T.StructType([T.StructField("fingerprint", T.StringType())])
-    return common.map_columns(docs, schema, [text], lambda texts: [[text_of(sampler(samples, shingle).sign(t or "")) for t in texts]])
+    return common.map_columns(docs, schema, [text], lambda own, texts: [[text_of(own.sign(t or "")) for t in texts]], model=(f"sampler {samples} {shingle}", lambda: Sampler(samples, shingle)))
 
 
 def with_next(docs: DataFrame, blocks: int, id_column: str = "doc_id") -> tuple[DataFrame, int]:
@@ -202,7 +197,7 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, shingle: int = SH
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return dealt.mapInArrow(run, _EDITED)
+    return common.bounded(dealt).mapInArrow(run, _EDITED)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

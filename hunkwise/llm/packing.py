@@ -41,9 +41,10 @@ def default_path() -> str:
 class PieceCache(dict):
     """Little-endian ids of a run without inner white space; a run's last punctuation mark is looked up apart."""
 
-    def __init__(self, encoding, most: int = 250_000):
+    def __init__(self, encoding, most: int = 100_000, longest: int = 64):
+        """Keeps `most` runs (about 200 bytes each) of `longest` characters at most."""
         super().__init__()
-        self.encoding, self.most = encoding, most
+        self.encoding, self.most, self.longest = encoding, most, longest
 
     def __missing__(self, run: str) -> bytes:
         body = run[1:] if run[0] == " " else run
@@ -53,9 +54,10 @@ class PieceCache(dict):
             return self[run[:-1]] + self[run[-1]]
         else:
             ids = array("I", self.encoding.encode_ordinary(run)).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[run] = ids
+        if len(run) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[run] = ids
         return ids
 
 
@@ -88,14 +90,9 @@ class Ids:
         return b"".join(map(self.cache.__getitem__, self.RUNS(text)))
 
 
-_ids: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
     """One encoder for a worker process."""
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return _ids[path]
+    return common.held(f"ids {path}", lambda: Ids(path))
 
 
 def cut(positions: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
@@ -181,8 +178,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_colu
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
             first, held, size = last + 1, [], 0
 
-        for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
+        for part in (p for batch in batches for p in common.slices(batch, [1], 4096)):
+            for key, text in zip(part.column(0), part.column(1)):
                 held.append((key.as_py(), encode(text.as_py() or "") + end))
                 size += len(held[-1][1]) // 4
                 if size >= CHUNK:
@@ -190,7 +187,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_colu
         if held:
             yield from flush()
 
-    return docs.select(id_column, "text").mapInArrow(run, schema)
+    return common.bounded(docs.select(id_column, "text")).mapInArrow(run, schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,15 +91,6 @@ class Counts(dict):
         return n
 
 
-_counts: dict[str, Counts] = {}
-
-
-def counts_of(path: str) -> Counts:
-    if path not in _counts:
-        _counts[path] = Counts(Automaton(*vocabulary(path)))
-    return _counts[path]
-
-
 _OUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
@@ -110,15 +101,15 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     replaced, others pass; repeated rows are counted apart; an empty table gives an empty result.
     """
 
-    def run(texts):
-        counts, words, tokens = counts_of(path), [], []
+    def run(counts, texts):
+        words, tokens = [], []
         for t in texts:
             w = (t or "").encode().split()
             words.append(len(w))
             tokens.append(sum(map(counts.__getitem__, w)))
         return [words, tokens]
 
-    return common.map_columns(docs, _OUT, [text], run)
+    return common.map_columns(docs, _OUT, [text], run, model=(f"counts {path}", lambda: Counts(Automaton(*vocabulary(path)))))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,11 @@ from pyspark.sql import types as T
 from hunkwise.llm import common
 
 #: Labelled documents, clean and toxic, that the model is fitted on at most: those of the smallest hash of doc_id.
-SAMPLE = (4_000, 2_000)
+SAMPLE = (2_000, 2_000)
+#: Bytes of their texts at most; a document that doesn't fit in what is left is passed over.
+SAMPLE_BYTES = 24_000_000
+#: Words whose scores a worker keeps (about 200 bytes each); longer words are not kept.
+KEPT_WORDS, KEPT_LENGTH = 100_000, 64
 FOLDS, HELD_OUT = 5, 0
 _SIZE = 1 << 18
 _TOKENS = re.compile(r"[^\W_]+|[.!?\n]")
@@ -61,11 +66,11 @@ def sentences(text: str) -> list[list[str]]:
     return [*out, own] if own else out
 
 
-def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """Forward-backward over padded chains (longest first). emit: chains x positions, the score of label 1 above that of 0.
 
-    Gives each position's probability of label 1, that of each pair of neighbouring labels (chains x positions - 1 x 4), and
-    each chain's log partition sum. No position past a chain's end means anything.
+    Gives each position's probability of label 1 and, for fitting, that of each pair of neighbouring labels (chains x
+    positions - 1 x 4). No position past a chain's end means anything.
     """
     n, most = emit.shape
     ahead = np.zeros((n, most, 2))
@@ -88,11 +93,13 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: n
     total = np.logaddexp(at_end[:, 0], at_end[:, 1])
     with np.errstate(over="ignore"):
         prob = np.exp(ahead[:, :, 1] + back[:, :, 1] - total[:, None])
+        if not with_pairs:
+            return prob, None
         pairs = np.zeros((n, most - 1, 4))
         for x in (0, 1):
             for y in (0, 1):
                 pairs[:, :, 2 * x + y] = np.exp(ahead[:, :-1, x] + trans[x, y] + y * emit[:, 1:] + back[:, 1:, y] - total[:, None])
-    return prob, pairs, total
+    return prob, pairs
 
 
 @dataclass
@@ -115,9 +122,11 @@ class Scorer(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = float("nan") if word in _ENDS else float(self.model.weights[slots(word)].sum())
+        value = float("nan") if word in _ENDS else float(self.model.weights[slots(word)].sum())
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def word_marginals(self, texts: list[str]) -> list[np.ndarray]:
@@ -139,17 +148,14 @@ class Scorer(dict):
         lengths = np.diff(np.append(starts, len(flat)))
         out = np.empty(len(flat))
         order = np.argsort(-lengths, kind="stable")
-        at = 0
-        while at < len(order):  # blocks of like lengths and bounded size
-            longest = lengths[order[at]]
-            rows = order[at : at + max(1, 200_000 // longest)]
-            rows = rows[lengths[rows] * 2 > longest] if longest > 8 else rows
+        for part in like_lengths(lengths[order]):
+            rows = order[part]
+            longest = lengths[rows[0]]
             index = starts[rows][:, None] + np.arange(longest)
             inside = np.arange(longest) < lengths[rows][:, None]
             padded = np.where(inside, flat[np.minimum(index, len(flat) - 1)], 0.0)
-            prob = marginals(padded, lengths[rows], self.model.start, self.model.trans)[0]
+            prob = marginals(padded, lengths[rows], self.model.start, self.model.trans, with_pairs=False)[0]
             out[index[inside]] = prob[inside]
-            at += len(rows)
         return np.split(out, np.cumsum(words)[:-1])
 
     def score(self, probs: np.ndarray) -> float:
@@ -159,6 +165,19 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(x @ self.model.fit, -30, 30))))
 
 
+def like_lengths(lengths: np.ndarray, cells: int = 200_000) -> Iterator[slice]:
+    """Slices of chains, longest first, that are padded to at most twice a chain's length (8 words at least) and `cells` words in all."""
+    at = 0
+    while at < len(lengths):
+        longest = max(1, int(lengths[at]))
+        end = at + max(1, cells // longest)
+        if longest > 8:
+            end = min(end, at + int(np.searchsorted(-lengths[at:], -longest / 2, "left")))
+        end = min(len(lengths), max(end, at + 1))
+        yield slice(at, end)
+        at = end
+
+
 def label_words(texts: list[str], toxic: list[int]) -> tuple[list[list[str]], list[list[int]]]:
     """Distinct sentences and their words' labels."""
     seen: dict[str, int] = {}
@@ -166,51 +185,59 @@ def label_words(texts: list[str], toxic: list[int]) -> tuple[list[list[str]], li
         for s in sentences(text):
             key = " ".join(s)
             seen[key] = min(seen.get(key, 1), int(y))  # a sentence that clean documents have is clean
-    counts = (Counter(), Counter())
+    names = lambda key: {f for w in set(key.split(" ")) for f in features(w)[:-1]}
+    bad, clean = Counter(), Counter()
     for key, y in seen.items():
-        counts[y].update({f for w in set(key.split(" ")) for f in features(w)[:-1]})
+        if y:
+            bad.update(names(key))
     share = (sum(seen.values()) + 1) / (len(seen) + 2)
     least = np.log(CHANCE) / np.log(share)
-    pure = {f for f, n in counts[1].items() if n >= least and n >= PURITY * (n + counts[0][f])}
-    chains, labels = [], []
+    bad = {f: n for f, n in bad.items() if n >= least}
     for key, y in seen.items():
-        words = key.split(" ")
+        if not y:
+            clean.update(names(key) & bad.keys())
+    pure = {f for f, n in bad.items() if n >= PURITY * (n + clean[f])}
+    chains, labels = [], []
+    once: dict[str, str] = {}  # one string object a word
+    told = {w: any(f in pure for f in features(w)[:-1]) for w in {w for key, y in seen.items() if y for w in key.split(" ")}}
+    while seen:
+        key, y = seen.popitem()
+        words = [once.setdefault(w, w) for w in key.split(" ")]
         chains.append(words)
-        labels.append([int(any(f in pure for f in features(w)[:-1])) if y else 0 for w in words])
+        labels.append([int(told[w]) for w in words] if y else [0] * len(words))
     return chains, labels
 
 
-def fit_field(chains: list[list[str]], labels: list[list[int]], epochs: int = 4, batch: int = 512, rate: float = 0.3, most: int = 15_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, start scores and transitions by AdaGrad on the log likelihood; of chains without a 1, `most` at most are used."""
+def fit_field(chains: list[list[str]], labels: list[list[int]], epochs: int = 4, batch: int = 512, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, start scores and transitions by AdaGrad on the log likelihood of all chains."""
     rng = np.random.RandomState(7)
-    with_one = [i for i, y in enumerate(labels) if any(y)]
-    without = [i for i, y in enumerate(labels) if not any(y)]
-    rng.shuffle(without)
-    use = np.array(with_one + without[:most], dtype=int)
-    known: dict[str, list[int]] = {}
+    use = np.arange(len(chains))
+    known: dict[str, tuple[int, ...]] = {}
     weights, start, trans = np.zeros(_SIZE), np.zeros(2), np.zeros((2, 2))
     squares = [np.full(_SIZE, 1e-6), np.full(2, 1e-6), np.full((2, 2), 1e-6)]
     for _ in range(epochs):
         rng.shuffle(use)
         for at in range(0, len(use), batch):
             rows = sorted(use[at : at + batch], key=lambda i: -len(chains[i]))
-            lengths = np.array([len(chains[i]) for i in rows])
-            inside = np.arange(lengths[0]) < lengths[:, None]
-            own = [known.get(w) or known.setdefault(w, slots(w)) for i in rows for w in chains[i]]
-            sizes = np.array([len(s) for s in own])
-            flat = np.array([x for s in own for x in s])
-            word = np.repeat(np.arange(len(own)), sizes)
-            emit = np.zeros(inside.shape)
-            emit[inside] = np.bincount(word, weights[flat], len(own))
-            y = np.zeros(inside.shape, int)
-            y[inside] = [v for i in rows for v in labels[i]]
-            prob, pairs, _ = marginals(emit, lengths, start, trans)
-            miss = ((y - prob) * inside)[inside]
-            steps = [np.bincount(flat, miss[word], _SIZE) - 1e-3 * weights * (np.bincount(flat, minlength=_SIZE) > 0)]
-            first = np.bincount(y[:, 0], minlength=2) - np.array([(1 - prob[:, 0]).sum(), prob[:, 0].sum()])
-            both = inside[:, 1:]
-            seen = np.bincount((2 * y[:, :-1] + y[:, 1:])[both], minlength=4) - pairs[both].sum(axis=0)
-            steps += [first, seen.reshape(2, 2)]
+            steps, used = [np.zeros(_SIZE), np.zeros(2), np.zeros((2, 2))], np.zeros(_SIZE, bool)
+            for part in like_lengths(np.array([len(chains[i]) for i in rows])):
+                own_rows = rows[part]
+                lengths = np.array([len(chains[i]) for i in own_rows])
+                inside = np.arange(lengths[0]) < lengths[:, None]
+                own = [known.get(w) or known.setdefault(w, tuple(slots(w))) for i in own_rows for w in chains[i]]
+                flat = np.array([x for s in own for x in s])
+                word = np.repeat(np.arange(len(own)), [len(s) for s in own])
+                emit = np.zeros(inside.shape)
+                emit[inside] = np.bincount(word, weights[flat], len(own))
+                y = np.zeros(inside.shape, int)
+                y[inside] = [v for i in own_rows for v in labels[i]]
+                prob, pairs = marginals(emit, lengths, start, trans)
+                steps[0] += np.bincount(flat, ((y - prob) * inside)[inside][word], _SIZE)
+                used[flat] = True
+                steps[1] += np.bincount(y[:, 0], minlength=2) - np.array([(1 - prob[:, 0]).sum(), prob[:, 0].sum()])
+                both = inside[:, 1:]
+                steps[2] += (np.bincount((2 * y[:, :-1] + y[:, 1:])[both], minlength=4) - pairs[both].sum(axis=0)).reshape(2, 2)
+            steps[0] -= 1e-3 * weights * used
             for value, square, step in zip((weights, start, trans), squares, steps, strict=True):
                 square += step**2
                 value += rate * step / np.sqrt(square)
@@ -241,8 +268,13 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    """Fits the model on `sample` labelled documents (clean, toxic) at most, none of them in the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits the model on `sample` labelled documents (clean, toxic) and most_bytes of text at most, none of the held-out fold.
+
+    Labels are 0 and 1; null ids, null labels and other labels are passed over, and so are labels without a document. Rows that
+    share a doc_id are documents of its label; null and empty texts are documents without words; repeated labels count once;
+    other columns are not read. Without labels all scores are 0, with one label alone that label.
+    """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter((fold() != HELD_OUT) & F.col("toxic").isin(0, 1)).distinct()
     counts = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     if not counts:
@@ -250,16 +282,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     by = F.xxhash64(F.col("doc_id"))
     picked = [usable.filter(F.col("toxic") == y).orderBy(by, "doc_id").limit(sample[y]).collect() for y in (0, 1)]
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for rows in picked for r in rows], T.StructType([usable.schema["doc_id"], T.StructField("toxic", T.IntegerType())]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # as many ids as the sample has
-    rows = rows.orderBy(by, "doc_id", "text").limit(sum(sample)).collect()  # an id may have many rows
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    mine = Counter(r.toxic for r in rows)
-    return fit_model([r.text or "" for r in rows], [r.toxic for r in rows], [counts[r.toxic] / mine[r.toxic] for r in rows], counts.get(1, 0) / sum(counts.values()))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # as many ids as the sample has
+    rows = common.stored(rows.select("doc_id", "text", "toxic", by.alias("by"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("mark")), "labelled")
+    listed = rows.select("by", "doc_id", "mark", "toxic", "size").orderBy("by", "doc_id", "mark", "toxic").limit(sum(sample)).collect()  # an id may have many rows
+    left, taken = most_bytes, []
+    for r in listed:
+        if r["size"] <= left:
+            left -= r["size"]
+            taken.append((r.doc_id, r.mark, r.toxic))
+    fits = docs.sparkSession.createDataFrame(sorted(set(taken)), T.StructType([usable.schema["doc_id"], T.StructField("mark", T.LongType()), T.StructField("toxic", T.IntegerType())]))
+    texts = {(r.doc_id, r.mark, r.toxic): r.text for r in rows.join(F.broadcast(fits), ["doc_id", "mark", "toxic"]).dropDuplicates(["doc_id", "mark", "toxic"]).collect()}
+    taken.sort(key=lambda k: (k[0], texts[k]))
+    mine = Counter(y for *_, y in taken)
+    return fit_model([texts[k] for k in taken], [y for *_, y in taken], [counts[y] / mine[y] for *_, y in taken], counts.get(1, 0) / sum(counts.values()))
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("marginal", T.DoubleType())])
 _OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T.ArrayType(SPAN))])
-_scorers: dict[str, Scorer] = {}
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -270,11 +309,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def run(texts):
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = sent.value.scorer()
-        scorer = _scorers[name]
+    def run(scorer, texts):
         texts = [t or "" for t in texts]
         found = scorer.word_marginals(texts)
         scores = [scorer.score(p) for p in found]
@@ -287,14 +322,15 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             spans.append(own)
         return [scores, [int(s >= 0.5) for s in scores], spans]
 
-    return common.map_columns(docs, _OUT, ["text"], run, rows=128)
+    return common.map_columns(docs, _OUT, ["text"], run, rows=128, model=(name, lambda: sent.value.scorer()))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold() == HELD_OUT, F.lit(False))  # a row without an id is in no fold
     out = score_documents(docs, learn(docs, common.table(spark, sf_dir, "labels")))
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", "predicted", spans.alias("spans"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", spans.alias("spans"))
 
 
 def brute_marginals(emit: list[float], start, trans) -> list[float]:
