@@ -28,8 +28,10 @@ from hunkwise.llm.components import connected_components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Classes of a block; a bucket of more is compared block by block.
 BLOCK = 16_384
-#: Texts of a block of near-dedup, where pairs between components are compared.
+#: Texts, or fingerprints, of a block of near-dedup, where pairs between components are compared.
 PAIR_BLOCK = 2_048
+#: Pairs between two components of a block that the first round of near-dedup looks at; each round looks at as many times more.
+PAIRS, MORE = 4, 16
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -130,6 +132,7 @@ def link_components(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK
     blocks = blocks.select("t", "key", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "simhash", "component")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("none")
         for fps, comps in _groups(batches, 4):
             if links := _forest(fps, comps, radius):
                 a, b = zip(*links, strict=True)
@@ -168,6 +171,7 @@ def leader_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
     A print that is within the radius of no earlier leader of its bucket leads from there on; any other is linked to the first
     such leader. Each round settles one leader in all buckets of a batch at once; only the last bucket's leaders are held.
     """
+    common.held("none")
     last, leaders = None, []
     for batch in batches:
         bucket, node, prints = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -207,6 +211,7 @@ def similar_links(links: DataFrame, texts: DataFrame, threshold: float) -> DataF
     a, b = (texts.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("none")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -221,13 +226,13 @@ def similar_links(links: DataFrame, texts: DataFrame, threshold: float) -> DataF
 def print_buckets(prints: DataFrame, seeds: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of nodes in prints (node, p0, p1, ...): (node, seed, print), the classes of equal prints, and the buckets that classes share.
 
-    A class (seed, print, low, high) has its least and greatest node; a bucket (bucket, node, seed, print) of the covering
-    tables has a row a class, that of its least node. Buckets of one class are left out.
+    A class (seed, print, low, high) has its least and greatest node; a bucket (bucket, t, node, seed, print) of covering table t
+    has a row a class, that of its least node. Buckets of one class are left out.
     """
     each = prints.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"p{i}").alias("print")) for i in range(seeds)])).alias("x")).select("node", "x.seed", "x.print")
     classes = common.stored(each.groupBy("seed", "print").agg(F.min("node").alias("low"), F.max("node").alias("high")), "classes")
     keys = F.array(*[F.xxhash64(F.col("seed"), F.lit(k), F.col("print").bitwiseAND(F.lit(m))) for k, m in enumerate(covering_masks(radius))])
-    tables = classes.select(F.explode(keys).alias("bucket"), F.col("low").alias("node"), "seed", "print")
+    tables = classes.select(F.posexplode(keys).alias("t", "bucket"), F.col("low").alias("node"), "seed", "print")
     met = tables.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").drop("n")
     return each, classes, common.stored(met, "buckets")
 
@@ -241,15 +246,61 @@ def candidate_links(each: DataFrame, classes: DataFrame, buckets: DataFrame, rad
     return same.union(met).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def mixed_buckets(each: DataFrame, classes: DataFrame, buckets: DataFrame, known: DataFrame) -> DataFrame:
-    """(bucket, node, print, component, n) of all nodes in buckets, or classes, that hold nodes of several components; n is a bucket's size."""
-    mine = each.join(known, "node", "left").select("node", "seed", "print", F.coalesce("component", "node").alias("component"))
-    mine = common.stored(mine, "members")
-    sums = mine.groupBy("seed", "print").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
-    own = classes.filter("low <> high").select(F.xxhash64("seed", F.lit(-1), "print").alias("bucket"), "seed", "print")
-    rows = buckets.select("bucket", "seed", "print").union(own)
-    mixed = rows.join(sums, ["seed", "print"]).groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n")).filter("least <> most")
-    return rows.join(mixed.select("bucket", "n"), "bucket").join(mine, ["seed", "print"]).select("bucket", "node", "print", "component", "n")
+def _blocks(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
+    """rows with (p, q) in which each pair of a bucket's rows meets: buckets of n rows are dealt to blocks of `block` rows by a key."""
+    parts = F.ceil(F.col(n) / block).cast("int")
+    part = F.pmod(F.xxhash64(key), parts).cast("int")
+    out = rows.select("*", part.alias("p0"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q0"))
+    return out.withColumns({"p": F.least("p0", "q0"), "q": F.greatest("p0", "q0")}).drop("p0", "q0", n)
+
+
+def first_tables(differ: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The first table in which pairs that differ in these bits meet; the number of tables, if in none."""
+    out = np.full(len(differ), len(masks))
+    for k in range(len(masks) - 1, -1, -1):
+        out[(differ & masks[k]) == 0] = k
+    return out
+
+
+def active_classes(rows: DataFrame, radius: int, block: int = PAIR_BLOCK) -> DataFrame:
+    """(bucket, seed, print) of the classes in rows (bucket, t, seed, print, least, most, classes) that some near class of another component meets.
+
+    least and most are the least and greatest component of a class. A pair of classes counts in the first of its tables alone.
+    """
+    masks = np.array(covering_masks(radius), np.int64)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("none")
+        for tables, seeds, prints, least, most in _groups(batches, 3):
+            hit = np.zeros(len(prints), bool)
+            for i in range(len(prints) - 1):
+                j = np.flatnonzero((_distances(prints[i + 1 :], prints[i]) <= radius) & ((least[i + 1 :] != least[i]) | (most[i + 1 :] != least[i]) | (most[i] != least[i]))) + i + 1
+                if len(j) and len(j := j[first_tables(prints[j] ^ prints[i], masks) == tables[0]]):
+                    hit[i] = hit[j] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(hit.sum()), tables[0])), pa.array(seeds[hit]), pa.array(prints[hit])], names=["t", "seed", "print"])
+
+    dealt = _blocks(rows, "print", "classes", block).select("bucket", "p", "q", F.col("t").cast("bigint"), F.col("seed").cast("bigint"), "print", "least", "most")
+    found = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "print").mapInArrow(find, "t bigint, seed bigint, print bigint").distinct()
+    table = F.get(F.array(*[F.lit(m) for m in covering_masks(radius)]), F.col("t").cast("int"))
+    return found.select(F.xxhash64(F.col("seed").cast("int"), F.col("t").cast("int"), F.col("print").bitwiseAND(table)).alias("bucket"), F.col("seed").cast("int").alias("seed"), "print")
+
+
+def mixed_buckets(each: DataFrame, classes: DataFrame, buckets: DataFrame, known: DataFrame, radius: int) -> DataFrame:
+    """(bucket, node, print, was, n) of the nodes of classes that hold, or meet, near nodes of other components; n is a bucket's size.
+
+    Classes are compared first, so that only those come with their nodes that have something to compare.
+    """
+    mine = common.stored(each.join(known, "node", "left").select("node", "seed", "print", F.coalesce("component", "node").alias("was")), "members")
+    sums = common.stored(mine.groupBy("seed", "print").agg(F.min("was").alias("least"), F.max("was").alias("most"), F.count("*").alias("n")), "class-components")
+    rows = buckets.drop("node").join(sums.drop("n"), ["seed", "print"])
+    several = rows.groupBy("bucket").agg(F.min("least").alias("c0"), F.max("most").alias("c1"), F.count("*").alias("classes"), F.min("print").alias("low"), F.max("print").alias("high"))
+    several = several.filter("c0 <> c1").filter((F.col("classes") > 2) | near(F.col("low"), F.col("high"), radius)).select("bucket", "classes")
+    met = active_classes(rows.join(several, "bucket"), radius)
+    own = sums.filter("least <> most").select(F.xxhash64("seed", F.lit(-1), "print").alias("bucket"), "seed", "print")
+    active = common.stored(met.union(own).join(sums.select("seed", "print", "n"), ["seed", "print"]), "active")
+    sizes = active.groupBy("bucket").agg(F.sum("n").alias("n"))
+    return active.drop("n").join(sizes, "bucket").join(mine, ["seed", "print"]).select("bucket", "node", "print", "was", "n")
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -257,53 +308,99 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(shingles % 1024, minlength=1024) & 1).astype(np.uint8)).tobytes()
 
 
-def cross_links(rows: DataFrame, texts: DataFrame, radius: int, threshold: float, block: int = PAIR_BLOCK) -> DataFrame:
-    """All links (a, b) between components within the buckets of rows, of prints within the radius, that may have the threshold's similarity.
-
-    Buckets are compared in blocks of bounded size. Only pairs that cannot have the similarity, by the sizes of their shingle sets
-    or by a lower bound of their difference, are passed over.
-    """
+def sketches(texts: DataFrame) -> DataFrame:
+    """(node, size, odd) of texts (node, shingles): the number of shingles and their parity."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("none")
         for batch in batches:
             sets = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.binary())], names=["node", "size", "odd"])
 
-    sizes = texts.select("node", "shingles").mapInArrow(sketch, "node bigint, size bigint, odd binary")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    blocks = rows.select("bucket", "node", "print", "component", part.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q")).join(sizes, "node")
-    blocks = blocks.select("bucket", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "node", "print", "component", "size", "odd")
+    return texts.select("node", "shingles").mapInArrow(sketch, "node bigint, size bigint, odd binary")
+
+
+def cross_links(rows: DataFrame, radius: int, threshold: float, begin: int, end: int, block: int = PAIR_BLOCK) -> DataFrame:
+    """Links (a, b) between components within the buckets of rows, of prints within the radius, that may have the threshold's similarity.
+
+    rows: (bucket, node, print, was, component, n, size, odd). Buckets are compared in blocks of bounded size. Of the pairs between
+    the same two components at first (was), in order of likeness, those from place `begin` up to `end` are given, unless they are
+    in one component by now; a row (0, 0) says that there are pairs beyond. Only pairs that cannot have the similarity, by the sizes
+    of their shingle sets or by a lower bound of their difference, are passed over.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, prints, comps, sizes, odd in _groups(batches, 3):
+        common.held("none")
+        for nodes, prints, was, comps, sizes, odd in _groups(batches, 3):
             if (comps == comps[0]).all():
                 continue
-            bits = np.frombuffer(b"".join(odd), np.uint64).reshape(len(nodes), -1)
+            bits, found = np.frombuffer(b"".join(odd), np.uint64).reshape(len(nodes), -1), []
             for i in range(len(nodes) - 1):
-                j = np.flatnonzero((comps[i + 1 :] != comps[i]) & (_distances(prints[i + 1 :], prints[i]) <= radius)) + i + 1
+                j = np.flatnonzero((was[i + 1 :] != was[i]) & (_distances(prints[i + 1 :], prints[i]) <= radius)) + i + 1
                 j = j[np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i]) - 1e-6]
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                j = j[(1 + threshold) * apart <= (1 - threshold) * (sizes[j] + sizes[i]) + 1e-6]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[j], nodes[i])), pa.array(np.minimum(nodes[j], nodes[i]))], names=["a", "b"])
-
-    met = blocks.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node").mapInArrow(compare, "a bigint, b bigint")
-    return met.filter("a <> b").distinct()
-
-
-def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 8, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+                may = (1 + threshold) * apart <= (1 - threshold) * (sizes[j] + sizes[i]) + 1e-6
+                if may.any():
+                    j, apart = j[may], apart[may]
+                    found.append((np.full(len(j), i), j, apart / np.maximum(1, sizes[j] + sizes[i])))
+            if not found:
+                continue
+            i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            low, high = np.minimum(was[i], was[j]), np.maximum(was[i], was[j])
+            order = np.lexsort((nodes[j], nodes[i], far, high, low))
+            new = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))
+            place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            left = comps[i[order]] != comps[j[order]]
+            pick = order[left & (place >= begin) & (place < end)]
+            a, b = np.maximum(nodes[i[pick]], nodes[j[pick]]), np.minimum(nodes[i[pick]], nodes[j[pick]])
+            if (left & (place >= end)).any():
+                a, b = np.append(a, 0), np.append(b, 0)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = _blocks(rows, "node", "n", block).select("bucket", "p", "q", "node", "print", "was", "component", "size", "odd")
+    return dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def across_components(met: DataFrame, groups: DataFrame, mixed: DataFrame, texts: DataFrame, radius: int, threshold: float, block: int = PAIR_BLOCK) -> DataFrame:
+    """(node, component) by the links met (a, b), of which groups are the components, and all similar pairs in mixed buckets.
+
+    Rounds look at the likeliest pairs of two components first and at more each time, so that components that are linked by one
+    pair hand on no others; the last round leaves no pair between components.
+    """
+    rows = common.stored(mixed.join(sketches(texts), "node"), "mixed")
+    begin, end = 0, PAIRS
+    while True:
+        now = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "was"))
+        found = common.stored(cross_links(now, radius, threshold, begin, end, block), "cross-links")
+        similar = common.stored(similar_links(found.filter("a <> b"), texts, threshold), "links")
+        if not similar.isEmpty():
+            met = met.union(similar)
+            groups = common.stored(connected_components(met), "components")
+        if found.filter("a = b").isEmpty():
+            return groups
+        begin, end = end, end * MORE
+
+
+def _any_kind(df: DataFrame, column: str) -> Column:
+    """A column to be hashed: as it is, or as text where its type cannot be hashed."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.to_json(F.struct(F.col(f"`{column}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{column}`")
+
+
+def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 8, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id", broadcast_rows: int = 1_000_000, block: int = PAIR_BLOCK) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id (nulls last), then of the smallest row hash.
 
     Near copies differ in a few words, which touch five shingles each, so candidates come from fingerprints over distinct words,
     which such edits move little: texts meet in a covering table if any of `seeds` independent fingerprints differs in `radius`
-    bits at most. A link needs the exact similarity of their word shingles. A text's link to the least candidate is verified
-    first, then other links to leaders that span two components, then all pairs of texts in buckets that still hold several: no
-    two groups are left with a pair that meets and is similar. Shingles are made of such texts only. Up to `broadcast_rows` keys,
-    linked and dropped rows are found by a broadcast join, beyond that by a shuffled one. Texts without words are copies of each
-    other; an empty table gives an empty result.
+    bits at most. A link needs the similarity of their word shingles, compared as sets of 32-bit hashes. A text's link to the
+    least candidate is verified first, then other links to leaders that span two components, then all pairs of texts in buckets
+    that still hold several: no two groups are left with a pair that meets and is similar. Shingles are made of such texts only.
+    Up to `broadcast_rows` keys, linked and dropped rows are found by a broadcast join, beyond that by a shuffled one. Texts
+    without words are copies of each other, nulls among them; of equal rows one stays; further columns of any type are handed on;
+    an empty table gives an empty result.
     """
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
+    whole = F.xxhash64(*[_any_kind(docs, c) for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
     rows = common.drop_clashes(docs, ["__row"]).withColumn("__row", whole)
     sent = rows.select(F.col(id_column).alias("__id"), "__row", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
     schema = T.StructType([T.StructField(f"p{i}", T.LongType()) for i in range(seeds)])
@@ -327,11 +424,11 @@ def deduplicate(docs: DataFrame, radius: int = 3, seeds: int = 8, size: int = 5,
     known = common.stored(connected_components(first), "components")
     mine, theirs = (known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
     apart = links.join(least, ["a", "b"], "left_anti").join(mine, "a", "left").join(theirs, "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    met = common.stored(first.union(similar_links(apart, texts, threshold)), "links")
-    mixed = common.stored(mixed_buckets(each, classes, buckets, common.stored(connected_components(met), "components")), "mixed")
-    texts = with_shingles(mixed)
-    more = similar_links(cross_links(mixed, texts, radius, threshold), texts, threshold)
-    groups = connected_components(met.union(more)).withColumnRenamed("component", "group")
+    more = common.stored(similar_links(apart, texts, threshold), "links")
+    met = first.union(more)
+    known = known if more.isEmpty() else common.stored(connected_components(met), "components")
+    mixed = common.stored(mixed_buckets(each, classes, buckets, known, radius), "mixed-nodes")
+    groups = across_components(met, known, mixed, with_shingles(mixed), radius, threshold, block).withColumnRenamed("component", "group")
     named = nodes.select("node", "head").join(groups, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("head").alias("head"))
     kept = common.stored(named.select(F.col("head.__row").alias("__row")).distinct(), "heads")
     dropped = common.stored(prints.select("__row").join(kept, "__row", "left_anti"), "dropped")
