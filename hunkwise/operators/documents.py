@@ -19,7 +19,7 @@ _BREAKS = re.compile(BREAKS.replace(r"\x{85}", "\x85").replace(r"\x{2028}", " 
 
 
 def raw_text(tree: object) -> str:
-    """A tree's text in document order, with a break after the children of each block. Depth is bounded by memory alone."""
+    """A tree's text in document order, with a break after the children of each block. Trees are walked with a stack."""
     out, todo = [], [tree]
     while todo:
         node = todo.pop()
@@ -40,8 +40,14 @@ def raw_text(tree: object) -> str:
 
 
 def plain_text(value: str | None) -> str:
-    """null gives an empty text, a JSON string itself, a tree its non-blank lines without trailing white space."""
-    tree = None if value is None else json.loads(value)
+    """null gives an empty text, a JSON string itself, a tree its non-blank lines without trailing white space.
+
+    What is no JSON, or nests deeper than Python's reader goes (some thousand levels), gives null.
+    """
+    try:
+        tree = None if value is None else json.loads(value)
+    except (ValueError, RecursionError):
+        return None
     if tree is None or isinstance(tree, str):
         return tree or ""
     lines = _BREAKS.split(raw_text(tree))
@@ -50,7 +56,7 @@ def plain_text(value: str | None) -> str:
 
 @F.pandas_udf(T.StringType())
 def flatten(trees: pd.Series) -> pd.Series:
-    """Trees are recursive, which no struct can hold; so they are walked in Arrow batches, with a stack and no depth limit."""
+    """Trees are recursive, which no struct can hold; so they are walked in Arrow batches; see plain_text."""
     return trees.map(plain_text)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +31,17 @@ def to_delete(files: DataFrame, group: list[str], keep: int, name: str = "name")
     if keep <= 0:
         return files.limit(0)
     newest = files.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(name)))).filter(F.col("__n") <= keep)
-    return files.join(newest.select(*group, name), [*group, name], "left_anti")
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in (*group, name)]  # a null is a group, too
+    return files.alias("f").join(newest.select(*group, name).alias("k"), reduce(and_, same), "left_anti")
 
 
 def in_page_order(pages: DataFrame, group: list[str]) -> DataFrame:
     """The items of pages (page, items array, next_page) as rows with their place: pages go on up to one that is empty or names no next."""
     ends = F.when((F.size("items") < 1) | F.coalesce(F.col("next_page").cast("string"), F.lit("")).isin("", "0"), F.col("page"))
     last = pages.groupBy(*group).agg(F.min(ends).alias("__last"))
-    rows = pages.join(last, group).filter(F.col("__last").isNull() | (F.col("page") <= F.col("__last")))
-    return rows.select(*group, "page", F.posexplode("items").alias("pos", "item"))
+    same = reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}")) for c in group])
+    rows = pages.alias("p").join(last.alias("l"), same).filter(F.col("__last").isNull() | (F.col("page") <= F.col("__last")))
+    return rows.select(*[F.col(f"p.{c}").alias(c) for c in group], "page", F.posexplode("items").alias("pos", "item"))
 
 
 def first_version(versions: Column) -> Column:

@@ -26,12 +26,12 @@ def _kind(issue: Column, field: str) -> Column:
 
 
 def whole_number(issue: Column, field: str) -> Column:
-    """A field as a number by lax rules: 8, 8.0, "8", "8.0", " 8 " and true (1) pass, all else is null."""
+    """A field as a number by lax rules: 8, 8.0, "8", "8.0", " 8 ", "1_0" (10) and true (1) pass, all else is null."""
     kind = _kind(issue, field)
     text = F.try_variant_get(issue, f"$.{field}", "string")
     number = F.when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0))
     plain = F.regexp_replace(text, rf"^{SPACES}+|{SPACES}+$", "")
-    digits = F.regexp_extract(plain, r"^([+-]?[0-9]+)(\.0*)?$", 1)
+    digits = F.replace(F.regexp_extract(plain, r"^([+-]?[0-9]+(?:_[0-9]+)*)(\.0+)?$", 1), F.lit("_"), F.lit(""))
     real = F.try_variant_get(issue, f"$.{field}", "double")
     number = number.when(kind == "STRING", F.when(digits != "", digits.try_cast("int")))
     return number.when(kind.isNotNull() & (kind != "VOID"), F.when(real == F.floor(real), real.try_cast("int")))

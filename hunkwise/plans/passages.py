@@ -63,9 +63,10 @@ class Finder:
 def locate_passages(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id", key: str = "item_id", block: int = BLOCK) -> DataFrame:
     """(doc_key, key, n_lines, first_line, outcome): the lines (from 0) of a document that hold a line, or all, of a passage.
 
-    outcome is unique or ambiguous, by the number of lines. Null texts hold nothing; repeated documents are told apart by row.
+    outcome is unique or ambiguous, by the number of lines. Passages that share a key are one, whatever the block. Null texts hold nothing; repeated documents are told apart by row.
     """
     rows = passages.select(key, forms(F.col("text")).alias("forms")).filter(F.size("forms") > 0)
+    rows = rows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("forms"))).alias("forms"))  # the rows of a key are one passage, in one block
     sized = rows.select(key, "forms", F.aggregate("forms", F.lit(0), lambda n, f: n + F.length(f["norm"]) + F.length(f["compact"])).alias("size"))
     out, now, held = None, [], 0
 

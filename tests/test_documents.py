@@ -32,3 +32,9 @@ def test_recursive_query_agrees(spark):
     assert [got[i] for i in range(len(trees))] == [documents.raw_text(t) for t in trees]
     flat = {r.i: r.d for r in df.select("i", documents.flatten("tree").alias("d")).collect()}
     assert [flat[i] for i in range(len(trees))] == [documents.plain_text(json.dumps(t)) for t in trees]
+
+
+def test_what_is_no_tree_is_null(spark):
+    deep = '{"content":[' * 50_000
+    rows = spark.createDataFrame([(0, "{"), (1, deep + '{"type":"text","text":"x"}' + "]}" * 50_000), (2, '"plain"'), (3, None)], "i int, t string")
+    assert [r.d for r in rows.select("i", documents.flatten("t").alias("d")).orderBy("i").collect()] == [None, None, "plain", ""]

@@ -15,7 +15,7 @@ def reasons(spark, values):
 
 def test_numbers_are_lax(spark):
     good = ["8", '"8"', "8.0", '"8.0"', '" 8 "', "true"]
-    bad = ["8.5", "null", "11", "0", '"x"', "[8]", "false", '""']
+    bad = ["8.5", "null", "11", "0", '"x"', "[8]", "false", '""', '"8."']
     make = lambda s: json.dumps(GOOD).replace('"severity_score": 8', f'"severity_score": {s}')
     assert reasons(spark, [make(s) for s in good]) == [None] * len(good)
     assert reasons(spark, [make(s) for s in bad]) == ["severity_score"] * len(bad)

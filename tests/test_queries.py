@@ -39,6 +39,14 @@ def test_passages_in_blocks(spark, small):
     assert locate_passages(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 10, 10_000])
+def test_passages_that_share_a_key(spark, block):
+    docs = spark.createDataFrame([(1, "first line\nsecond line\nother")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "first line"), (8, "other"), (7, "second line"), (None, "other")], "item_id bigint, text string")
+    got = {(r.item_id, r.n_lines, r.first_line, r.outcome) for r in locate_passages(docs, items, block=block).collect()}
+    assert got == {(7, 2, 0, "ambiguous"), (8, 1, 2, "unique"), (None, 1, 2, "unique")}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 21
     assert set(entry.oracle_sql()) <= set(entry.queries())

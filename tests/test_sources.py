@@ -111,3 +111,10 @@ def test_missing_inputs(spark):
 def test_request_ids_and_durations(spark):
     rows = spark.createDataFrame([("a", 1.23456), ("", 0.5), (None, 0.0)], "h string, s double").select(request_id(F.col("h")).alias("i"), duration_ms(F.col("s")).alias("d")).collect()
     assert rows[0].i == "a" and len(rows[1].i) == len(rows[2].i) == 36 and [r.d for r in rows] == [1234.56, 500.0, 0.0]
+
+
+def test_null_groups_are_groups(spark):
+    files = spark.createDataFrame([(None, f"a.2026-01-0{i}.log") for i in range(1, 6)] + [("d", "a.2026-01-01.log")], "folder string, name string")
+    assert sorted(r.name for r in housekeeping.to_delete(files, ["folder"], 3).collect()) == ["a.2026-01-01.log", "a.2026-01-02.log"]
+    pages = spark.createDataFrame([(None, 1, [1], 2), (None, 2, [2], None), (None, 3, [3], 4)], "g string, page int, items array<int>, next_page int")
+    assert sorted((r.g, r.item) for r in housekeeping.in_page_order(pages, ["g"]).collect()) == [(None, 1), (None, 2)]
