@@ -1,10 +1,18 @@
 """PII (4): information-theoretic sanitisation, on DataFrame functions alone.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Words that go with an entity may give it away even
-when it is gone. The corpus says how strongly: with p from counts of different texts, whole ones, a word t reveals an entity e by
-PMI(t, e) = log2 p(t, e) / (p(t) p(e)) of the -log2 p(e) bits that e itself has. Words that reveal the share GENERALISE of it
-or more are generalised, and removed from the share REMOVE, wherever they stand. A word must go with an entity in SUPPORT different
-texts and contexts of the entity, so that one passage and its copies prove nothing.
+when it is gone. The corpus says how strongly: a word t reveals an entity e by PMI(t, e) = log2 p(e | t) / p(e) of the -log2 p(e) bits
+that e itself has. Words that reveal the share GENERALISE of it or more are generalised, and removed from the share REMOVE, wherever
+they stand.
+
+Values seldom recur, so an entity backs off: to its value if that stands in SUPPORT different places, else to its class (mail domain, two
+parts of an IP address, six digits of a card, four of a phone number) if what is left of that does, else to its kind. A place is the
+value with the SURROUNDINGS code points on either side; copies and near copies of a passage share their places. An entity counts its
+places, a word its different texts, both together the places in texts with the word, where a place that m texts share is 1/m in each, and a text has one at most:
+
+    p(e) = places(e) / texts,   p(e | t) = places(t, e) / (texts(t) + 1),
+
+and places(t, e) must be SUPPORT at least and PMI LEAST_BITS, so that neither chance nor a common kind makes a word tell.
 """
 
 from __future__ import annotations
@@ -24,13 +32,14 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-#: Code points of context on either side of an entity.
-CONTEXT = 120
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Code points on either side of an entity that make its place.
+SURROUNDINGS = 16
+SUPPORT, LEAST_BITS, GENERALISE, REMOVE = 3, 3.0, 0.8, 0.95
 #: Keys of words, texts or rows, up to this number, are sent to all executors; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
 _GAPS = r"[\x00-/:-@\[-`{-\x7f]+"
 _WORD = r"[^\x00-/:-@\[-`{-\x7f]+"
+_INNER = r"[0-9A-Za-z\x{80}-\x{10ffff}]"
 _BLOCK = 64
 
 
@@ -55,14 +64,15 @@ def is_valid(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def located(df: DataFrame, text: str, pattern: str, name: str, when: Column) -> DataFrame:
+def located(df: DataFrame, text: str, pattern: str | Column, name: str, when: Column) -> DataFrame:
     """df with column `name`: array of (start, end, value), code points, of all leftmost non-overlapping matches.
 
     What lies between the matches, from the same pattern, gives their places: sums of lengths, by blocks of 64.
     """
     m, gaps, lengths, blocks = (f"__{name}_{x}" for x in ("m", "g", "l", "b"))
     empty = F.array().cast("array<string>")
-    df = df.withColumn(m, F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    df = df.withColumn(m, F.when(when, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(empty))
     df = df.withColumn(gaps, F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(empty))
     df = df.withColumn(lengths, F.transform(m, lambda x, i: F.length(F.get(gaps, i)) + F.length(x)))
     plus = lambda a, b: a + b
@@ -93,8 +103,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _entity(s: Column) -> Column:
-    return F.xxhash64(s["kind"], F.when(s["kind"].isin("card", "phone"), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"])))
+def _levels(s: Column) -> list[Column]:
+    """An entity's value, class and kind, as hashes."""
+    digits = F.regexp_replace(s["value"], "[^0-9]", "")
+    low = F.lower(s["value"])
+    value = F.when(s["kind"].isin("card", "phone"), digits).otherwise(low)
+    of = F.when(s["kind"] == "email", F.substring_index(low, "@", -1)).when(s["kind"] == "ip", F.substring_index(low, ".", 2))
+    of = of.when(s["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    return [F.xxhash64(s["kind"], F.lit("value"), value), F.xxhash64(s["kind"], F.lit("class"), of), F.xxhash64(s["kind"])]
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -102,6 +118,32 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.split(text, _GAPS), lambda w: F.lower(w)))
+
+
+def _outside(text: str) -> Column:
+    """What of a text is outside of its base spans, in one."""
+    ends = F.transform("base", lambda s: s["end"])
+    before = lambda i: F.when(i > 0, F.array_max(F.slice(ends, F.lit(1), i))).otherwise(0)
+    parts = F.transform("base", lambda s, i: F.substring(text, before(i) + 1, F.greatest(F.lit(0), s["start"] - before(i))))
+    return F.array_join(F.concat(parts, F.array(F.substring(text, F.array_max(ends) + 1, F.length(text)))), " ")
+
+
+def entity_places(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of d (copy, around): (copy, entities array of (entity, places)) of texts with entities, and (entity, entity_places)."""
+    seen = common.stored(d.filter("around is not null").select("copy", F.explode("around").alias("a")).select("copy", "a.*").distinct(), "pii-places")
+    places = common.stored(seen.groupBy("place").agg(F.count("*").alias("texts"), *[F.min(c).alias(c) for c in ("value", "class", "kind")]), "pii-shared")
+    often = lambda df, c: _small(common.stored(df.groupBy(c).agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select(c), f"pii-{c}")).withColumn(f"by_{c}", F.lit(True))
+    places = places.join(often(places, "value"), "value", "left")
+    places = places.join(often(places.filter("by_value is null"), "class"), "class", "left")
+    entity = F.when(F.col("by_value"), F.col("value")).when(F.col("by_class"), F.col("class")).otherwise(F.col("kind"))
+    places = common.stored(places.select("place", entity.alias("entity"), "texts"), "pii-backed")
+    of_entity = places.groupBy("entity").agg(F.count("*").alias("entity_places")).filter(F.col("entity_places") >= SUPPORT)
+    held = seen.select("copy", "place").join(places, "place").groupBy("copy", "entity").agg(F.least(F.lit(1.0), F.sum(1 / F.col("texts"))).alias("places"))
+    return held.groupBy("copy").agg(F.collect_list(F.struct("entity", "places")).alias("entities")), common.stored(of_entity, "pii-entities")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, __row, base and terms, both arrays of (start, rank, end, kind, value).
 
@@ -112,42 +154,41 @@ def find(docs: DataFrame) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__row", key)
     texts = d.select("__row", F.xxhash64("text").alias("copy"), "text")
-    d = base_spans(d)
-    start = lambda s: F.greatest(F.lit(0), s["start"] - CONTEXT)
-    around = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), F.xxhash64(F.substring("text", start(s) + 1, s["end"] - start(s) + CONTEXT)).alias("place")))
-    d = d.withColumn("around", F.when(F.size("base") > 0, F.array_distinct(around)))
-    d = common.stored(d.select("doc_id", "__row", F.xxhash64("text").alias("copy"), "base", "around"), "pii-base")
+    start = lambda s: F.greatest(F.lit(0), s["start"] - SURROUNDINGS)
+
+    def place(s: Column) -> Column:
+        value, of, kind = _levels(s)
+        around = F.substring("text", start(s) + 1, s["end"] - start(s) + SURROUNDINGS)
+        return F.struct(value.alias("value"), of.alias("class"), kind.alias("kind"), F.xxhash64(value, around).alias("place"))
+
+    d = base_spans(d).withColumn("around", F.when(F.size("base") > 0, F.array_distinct(F.transform("base", place))))
+    outside = F.when(F.size("base") > 0, _outside("text"))  # of few texts, so that the others need not be looked at again
+    d = common.stored(d.select("doc_id", "__row", F.xxhash64("text").alias("copy"), "base", "around", outside.alias("outside")), "pii-base")
 
     # Each of c rows of one text counts 1/c, so that sums count different texts without a shuffle of their words.
     copies = common.stored(d.groupBy("copy").agg(F.count("*").alias("c")), "pii-copies")
-    n = copies.count()
-    texts = texts.join(_small(copies.filter("c > 1")), "copy", "left").withColumn("weight", 1 / F.coalesce("c", F.lit(1)))
-    mine = F.explode(F.array_distinct(F.transform(F.split("text", _GAPS), lambda w: F.lower(w)))).alias("term")
-    of_term = texts.select("weight", mine).filter(F.length("term") > 2).groupBy("term").agg(F.round(F.sum("weight")).alias("term_docs"))
-    of_term = common.stored(of_term.filter(F.col("term_docs") >= SUPPORT), "pii-words")
-    # Of a text's contexts of an entity, SUPPORT tell whether there are so many in all.
-    entities = d.filter("around is not null").select("copy", F.explode("around").alias("a")).groupBy("copy", "a.entity").agg(F.slice(F.sort_array(F.collect_set("a.place")), 1, SUPPORT).alias("places"))
-    entities = common.stored(entities, "pii-entities")
-    of_entity = entities.groupBy("entity").agg(F.count("*").alias("entity_docs")).filter((F.col("entity_docs") >= SUPPORT) & (F.col("entity_docs") < n))
-    # A joint count is no more than entity_docs: a word in more texts than this cannot reveal the share.
-    most = F.col("entity_docs") * F.pow(F.lit(float(n)) / F.col("entity_docs"), 1 - GENERALISE) * (1 + 1e-9)
-    often = common.stored(entities.join(of_entity.withColumn("most", most), "entity"), "pii-often")
-    words = texts.join(_small(often.groupBy("copy").agg(F.max("most").alias("any"))), "copy").select("copy", "any", mine)
-    words = words.join(_small(of_term), "term").filter("term_docs <= any").drop("any")
-    words = words.groupBy("copy", "term").agg(F.max("term_docs").alias("term_docs"))
-    seen = words.join(often, "copy").filter("term_docs <= most").select("term", "entity", "term_docs", "entity_docs", F.posexplode("places").alias("i", "place"))
-    places = seen.groupBy("term", "entity", "place").agg(F.sum((F.col("i") == 0).cast("int")).alias("joint"), F.max("term_docs").alias("term_docs"), F.max("entity_docs").alias("entity_docs"))
-    joint = places.groupBy("term", "entity").agg(F.sum("joint").alias("joint"), F.count("*").alias("places"), F.max("term_docs").alias("term_docs"), F.max("entity_docs").alias("entity_docs"))
-    pmi = F.log2(F.col("joint") * F.lit(float(n)) / (F.col("term_docs") * F.col("entity_docs")))
-    told = joint.filter(F.least("places", "joint") >= SUPPORT).withColumn("share", pmi / F.log2(F.lit(float(n)) / F.col("entity_docs")))
-    told = common.stored(told.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE), "pii-terms")
-
-    hits = common.stored(texts.select("__row", mine).join(_small(told), "term", "left_semi").select("__row").distinct(), "pii-hits")
-    flagged = located(texts.join(_small(hits), "__row", "left_semi").select("__row", "text"), "text", _WORD, "words", F.lit(True))
-    # Of a bare column Spark would infer a filter and work out the places for each word anew.
-    flagged = flagged.select("__row", F.explode(F.filter("words", lambda w: F.length(w["value"]) > 2)).alias("w")).select("__row", "w.start", "w.end", F.lower("w.value").alias("term")).join(_small(told), "term")
+    n = float(copies.count())
+    again = _small(copies.filter("c > 1"))
+    of_term = texts.join(again, "copy", "left").select((1 / F.coalesce("c", F.lit(1))).alias("weight"), F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.round(F.sum("weight")).alias("term_texts"))
+    entities, of_entity = entity_places(d)
+    rows = d.filter("outside is not null").select("copy", "outside").join(entities, "copy").join(again, "copy", "left")
+    rows = rows.select((1 / F.coalesce("c", F.lit(1))).alias("weight"), "entities", F.explode(_words(F.col("outside"))).alias("term")).select("weight", "term", F.explode("entities").alias("e"))
+    joint = rows.groupBy("term", "e.entity").agg(F.sum(F.col("weight") * F.col("e.places")).alias("joint")).filter((F.col("joint") >= SUPPORT - 1e-6) & (F.col("term") != ""))
+    joint = common.stored(joint.join(_small(of_entity), "entity"), "pii-joint")
+    of_term = of_term.join(_small(joint.select("term").distinct()), "term", "left_semi")
+    bits, whole = F.log2(F.col("joint") / (F.col("term_texts") + 1) * n / F.col("entity_places")), F.log2(n / F.col("entity_places"))
+    told = joint.join(_small(common.stored(of_term, "pii-words")), "term").filter((bits >= LEAST_BITS) & (bits >= GENERALISE * whole - 1e-9))
+    told = common.stored(told.groupBy("term").agg(F.max(bits / whole).alias("share")), "pii-terms")
+
+    # Of the words of all texts, the forms of disclosing ones; they make a pattern of their own for each text that has any.
+    forms = texts.select("__row", F.explode(F.array_distinct(F.split("text", _GAPS))).alias("form")).withColumn("term", F.lower("form")).join(_small(told), "term")
     action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
-    flagged = flagged.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), action.alias("value")))).alias("terms"))
+    hits = common.stored(forms.groupBy("__row").agg(F.collect_set(F.struct("form", action.alias("action"))).alias("forms")), "pii-hits")
+    pattern = F.concat(F.lit(f"(?<!{_INNER})(?:"), F.array_join(F.transform("forms", lambda f: f["form"]), "|"), F.lit(f")(?!{_INNER})"))
+    flagged = common.stored(texts.join(_small(hits), "__row").withColumn("pattern", pattern), "pii-flagged")
+    flagged = located(flagged, "text", F.col("pattern"), "words", F.lit(True)).withColumn("known", F.map_from_entries("forms"))
+    terms = F.transform("words", lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["end"].alias("end"), F.lit("term").alias("kind"), F.element_at("known", w["value"]).alias("value")))
+    flagged = flagged.select("__row", terms.alias("terms")).dropDuplicates(["__row"])
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     outside = F.filter("terms", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
     return d.join(flagged, "__row", "left").select("doc_id", "__row", "base", F.coalesce(outside, none).alias("terms"))
@@ -191,3 +232,56 @@ def brute_base(text: str | None) -> list[tuple[str, int, int]]:
     ]
     out = [(m.start(), rank, kind, m.end()) for rank, (kind, p, ok) in enumerate(rules) for m in re.finditer(p, text or "") if ok(m[0])]
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def brute_terms(texts: list[str | None]) -> dict[str, float]:
+    """The disclosing words of different texts and the share that each reveals, by plain counting, for tests."""
+    import math
+    import re
+    from collections import defaultdict
+
+    whole = sorted({t or "" for t in texts})
+    words = lambda t: {w.lower() for w in re.split(_GAPS, t) if w}
+    places, with_term = defaultdict(set), defaultdict(int)  # (kind, value, class, surroundings): texts
+    for i, t in enumerate(whole):
+        for w in words(t):
+            with_term[w] += 1
+        for kind, a, b in brute_base(t):
+            value, digits = t[a:b].lower(), re.sub("[^0-9]", "", t[a:b])
+            of = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+            places[kind, digits if kind in ("card", "phone") else value, of, t[max(0, a - SURROUNDINGS) : b + SURROUNDINGS]].add(i)
+    by_value, by_class, entities = defaultdict(int), defaultdict(int), defaultdict(list)
+    for kind, value, _, _ in places:
+        by_value[kind, value] += 1
+    for kind, value, of, _ in places:
+        by_class[kind, of] += by_value[kind, value] < SUPPORT
+    for (kind, value, of, _), own in places.items():
+        entities[("value", kind, value) if by_value[kind, value] >= SUPPORT else ("class", kind, of) if by_class[kind, of] >= SUPPORT else (kind,)].append(own)
+    outside = {}
+    for i in set().union(*[x for own in entities.values() for x in own]):
+        inside = {at for _, a, b in brute_base(whole[i]) for at in range(a, b)}
+        outside[i] = words("".join(" " if at in inside else c for at, c in enumerate(whole[i])))
+    told: dict[str, float] = {}
+    for own in entities.values():
+        joint, held = defaultdict(float), defaultdict(float)
+        for texts_of in own:
+            for i in texts_of:
+                held[i] += 1 / len(texts_of)
+        for i, n in held.items():
+            for w in outside[i]:
+                joint[w] += min(1.0, n)
+        own_bits = math.log2(len(whole) / len(own))
+        for w, j in joint.items():
+            bits = math.log2(j / (with_term[w] + 1) * len(whole) / len(own))
+            if len(own) >= SUPPORT and j >= SUPPORT - 1e-6 and bits >= LEAST_BITS and bits >= GENERALISE * own_bits - 1e-9:
+                told[w] = max(told.get(w, 0.0), bits / own_bits)
+    return told
+
+
+def brute_spans(text: str | None, told: dict[str, float]) -> list[tuple[int, int, str]]:
+    """The spans of disclosing words of a text outside of base spans, for tests."""
+    import re
+
+    base = brute_base(text)
+    found = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(_WORD, text or "")]
+    return [(a, b, "remove" if told[w] >= REMOVE else "generalise") for a, b, w in found if w in told and not any(x < b and y > a for _, x, y in base)]
