@@ -21,14 +21,15 @@ def unified_diff_text(diffs: Column) -> Column:
     return F.array_join(F.transform(diffs, one), "\n")
 
 
-def numbered_lines(diffs: DataFrame, keys: list[str], diff: str = "diff", keep: tuple[str, ...] = ()) -> DataFrame:
+def numbered_lines(diffs: DataFrame, keys: list[str], diff: str = "diff", keep: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
     """Every raw line: keys, keep, raw_index, line, hunk, new_line (null before a hunk or under a header without +N) and added.
 
-    Diffs are dealt out by key while whole; lines then stay where they are, so that the windows need no further exchange. In a
-    hunk, the counter passes over deleted lines and notes; a deleted line that looks like a file header moves it, and an added
+    Diffs are dealt out by key while whole, unless they are dealt so already; lines then stay where they are, so that the windows
+    need no further exchange. In a hunk, the counter passes over deleted lines and notes; a deleted line that looks like a file header moves it, and an added
     one that does is no added line.
     """
-    rows = diffs.select(*keys, *keep, diff).repartition(*keys).select(*keys, *keep, F.posexplode(split_lines(F.coalesce(F.col(diff), F.lit("")))).alias("raw_index", "line"))
+    rows = diffs.select(*keys, *keep, diff)
+    rows = (rows if dealt else rows.repartition(*keys)).select(*keys, *keep, F.posexplode(split_lines(F.coalesce(F.col(diff), F.lit("")))).alias("raw_index", "line"))
     line = F.col("line")
     header = line.startswith("@@")
     added = line.startswith("+") & ~line.startswith("+++")
@@ -55,11 +56,19 @@ def hunks(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
     return rows.groupBy(*keys, "hunk").agg(F.min("new_line").alias("first_line"), F.count("*").alias("lines"), F.count_if("added").alias("added"))
 
 
+def lines_before(lines: Column, at: Column) -> Column:
+    begin = F.greatest(F.lit(0), at - AROUND)
+    return F.slice(lines, begin + 1, at - begin)
+
+
+def lines_after(lines: Column, at: Column) -> Column:
+    return F.slice(lines, at + 2, F.lit(AROUND))
+
+
 def window_before(lines: Column, at: Column) -> Column:
     """The raw lines before line `at`, joined."""
-    begin = F.greatest(F.lit(0), at - AROUND)
-    return F.array_join(F.slice(lines, begin + 1, at - begin), "\n")
+    return F.array_join(lines_before(lines, at), "\n")
 
 
 def window_after(lines: Column, at: Column) -> Column:
-    return F.array_join(F.slice(lines, at + 2, F.lit(AROUND)), "\n")
+    return F.array_join(lines_after(lines, at), "\n")

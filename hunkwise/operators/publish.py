@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkwise.functions.text import text_or
-from hunkwise.operators.localize import locate
+from hunkwise.operators.localize import judged, searchable, with_forms
 
 # Publication modes, and the reason of a finding whose file isn't in the diff.
 INLINE, NOTE, FALLBACK, FAILED = "inline", "mr_note", "mr_note_fallback", "failed"
@@ -20,11 +20,14 @@ def first_files(files: DataFrame, keys: list[str], pos: str = "file_pos") -> Dat
     return first.select(*keys, "new_path", pos, "__file.*")
 
 
+def _joined(issues: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    on = [F.col(f"i.{k}") == F.col(f"f.{k}") for k in keys] + [F.when(F.col("i.file_path") != "", F.col("i.file_path")) == F.col("f.new_path")]
+    return issues.alias("i").join(first.alias("f"), on, "left").select("i.*", *[f"f.{c}" for c in first.columns if c not in keys])
+
+
 def with_file(issues: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """issues with new_path, old_path and diff of the first file that has their path; nulls if none, or if the path is null or empty."""
-    first = first_files(files, keys).select(*keys, "new_path", "old_path", "diff")
-    on = [F.col(f"i.{k}") == F.col(f"f.{k}") for k in keys] + [F.when(F.col("i.file_path") != "", F.col("i.file_path")) == F.col("f.new_path")]
-    return issues.alias("i").join(first.alias("f"), on, "left").select("i.*", "f.new_path", "f.old_path", "f.diff")
+    return _joined(issues, first_files(files, keys).select(*keys, "new_path", "old_path", "diff"), keys)
 
 
 def old_path_of(new_path: Column, found_old: Column) -> Column:
@@ -47,7 +50,8 @@ def publication_plan(issues: DataFrame, files: DataFrame, review: list[str], pos
     """
     keys = [*review, pos]
     lines = issues.filter("scope = 'line'").select(*keys, "file_path", "anchor_text", "before_anchor", "after_anchor", *[c for c in review if c not in keys])
-    found = locate(with_file(lines, files, review), keys).select(*keys, "new_path", F.col("old_path").alias("__old"), "ok", "new_line", "reason")
+    first = searchable(first_files(files, review), [*review, "new_path"], keep=("old_path",))
+    found = judged(_joined(with_forms(lines), first, review), [*keys, "new_path", F.col("old_path").alias("__old")])
     same = [F.col(f"i.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
     out = issues.alias("i").join(found.alias("l"), same, "left").select("i.*", "l.new_path", "l.__old", "l.ok", "l.new_line", "l.reason")
     line = F.col("scope") == "line"

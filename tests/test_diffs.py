@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from hunkwise.operators import diffs, localize
+from hunkwise.operators import diffs, localize, publish
 
 F1 = "@@ -1,4 +10,6 @@ def f(+99)\n ctx\n-old\n--- sql\n+new1\n+++x\n\\ No newline at end of file\n+new2\n@@ broken @@\n+skip\n@@ -50 +60 @@\n+z"
 
@@ -78,3 +78,15 @@ def test_windows_need_one_exchange(spark):
     d = spark.createDataFrame([(1, F1)], "k int, diff string")
     plan = diffs.added_lines(d, ["k"])._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+
+def test_empty_and_equal_diffs(spark):
+    d = "@@ -1 +1,2 @@\n+ a\\\\.b  c\n+\n+x"
+    rows = [(1, "p", "a.b c", None, None, "p", d), (2, "q", "x", "a\\.b", "", "q", d), (3, "p", "x", None, None, "p", None), (4, "p", "x", None, None, "p", ""), (None, None, "x", None, None, "p", d)]
+    found = localize.locate(spark.createDataFrame(rows, "k int, file_path string, anchor_text string, before_anchor string, after_anchor string, new_path string, diff string"), ["k"])
+    assert {(r.k, r.new_line) for r in found.collect()} == {(1, 1), (2, 3), (3, None), (4, None), (None, None)}
+    files = spark.createDataFrame([(1, 0, "p", "o", ""), (1, 1, "p", "o", d)], "mr int, file_pos int, new_path string, old_path string, diff string")
+    issue = [(1, 0, "line", "bug", 5, 5, "c", "p", "x", None, None), (1, 1, "line", "bug", 5, 5, "c", "other", "x", None, None)]
+    schema = "mr int, issue_pos int, scope string, problem_type string, severity_score int, confidence_score int, comment string, file_path string, anchor_text string, before_anchor string, after_anchor string"
+    got = {r.issue_pos: r.fallback_reason for r in publish.publication_plan(spark.createDataFrame(issue, schema), files, ["mr"]).collect()}
+    assert got == {0: localize.NOT_FOUND, 1: publish.NO_FILE}
