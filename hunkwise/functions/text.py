@@ -12,24 +12,26 @@ SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 BREAKS = r"\r\n|[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Escapes that the soft form undoes, in this order.
 ESCAPES = [("\\\\", "\\"), ('\\"', '"'), ("\\'", "'"), ("\\@", "@"), ("\\.", "."), ("\\/", "/")]
+# What is no printable ASCII goes through these classes; the rest, nearly all of a text, fails at one comparison.
+_RUN, _BREAK = rf"(?![!-~]){SPACES}", rf"(?![ -~])(?:{BREAKS})"
 
 
 def split_lines(x: Column) -> Column:
     """Lines of x without their breaks; no empty last line; none of an empty text."""
-    parts = F.split(x, BREAKS, -1)
+    parts = F.split(x, _BREAK, -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^{SPACES}++|(?<!{SPACES}){SPACES}++$", "")
+    return F.regexp_replace(x, rf"^{_RUN}++|(?![!-~])(?<!{SPACES}){SPACES}++$", "")
 
 
 def rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?<!{SPACES}){SPACES}++$", "")
+    return F.regexp_replace(x, rf"(?![!-~])(?<!{SPACES}){SPACES}++$", "")
 
 
 def normalize(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, rf"{SPACES}+", " "))
+    return F.trim(F.regexp_replace(x, rf"{_RUN}+", " "))
 
 
 def soft(x: Column) -> Column:
@@ -39,14 +41,15 @@ def soft(x: Column) -> Column:
 
 def compact(x: Column) -> Column:
     """The soft form without any white space."""
-    return F.regexp_replace(soft(x), rf"{SPACES}+", "")
+    return F.regexp_replace(soft(x), rf"{_RUN}+", "")
 
 
 def variants(x: Column) -> Column:
     """Each non-blank line of x, stripped, the whole of it, and the soft forms of these."""
-    parts = F.filter(F.transform(split_lines(x), strip), lambda p: p != "")
-    every = F.concat(parts, F.array(strip(x)))
-    return F.array_distinct(F.filter(F.concat(every, F.transform(every, soft)), lambda p: p != ""))
+    parts = F.transform(F.split(x, _BREAK, -1), strip)
+    every = F.array_distinct(F.concat(parts, F.array(strip(x))))
+    both = F.get(F.transform(F.array(every), lambda e: F.concat(e, F.transform(e, soft))), F.lit(0))  # makes every once
+    return F.array_distinct(F.filter(both, lambda p: p != ""))
 
 
 def forms(x: Column) -> Column:

@@ -34,8 +34,9 @@ def searchable(files: DataFrame, keys: list[str], keep: tuple[str, ...] = (), de
 
 
 def with_forms(rows: DataFrame) -> DataFrame:
-    """rows with the forms of their anchors, made ahead of the join with the files, so that no line makes them again."""
-    return rows.withColumns({f"__{c}": forms(F.col(c)) for c in ("anchor_text", "before_anchor", "after_anchor")})
+    """rows with the forms of their anchors, null or empty ones aside, made ahead of the join with the files, so that no line makes them again."""
+    own = lambda c: forms(F.when((F.col(c) != "") & (F.coalesce(F.col("file_path"), F.lit("")) != "") & (F.col("anchor_text") != ""), F.col(c)))
+    return rows.withColumns({f"__{c}": own(c) for c in ("anchor_text", "before_anchor", "after_anchor")})
 
 
 def _near(anchor: str, norms: Column, packs: Column) -> Column:
