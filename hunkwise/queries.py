@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkwise.functions import text as X
-from hunkwise.functions.http import error_status
+from hunkwise.functions.http import duration_ms, error_status, request_id
 from hunkwise.operators import diffs, documents, housekeeping, issues, localize, projections, publish
 from hunkwise.plans.passages import locate_passages
 from hunkwise.plans.review import plan_review
+from hunkwise.sources import captured, model, rest, settings, sinks
+from hunkwise.sources.canned import answer, provider
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -471,8 +473,75 @@ def q_url_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", X.percent_encode(F.concat("url", F.lit(" *~é+"))).alias("quoted"), X.without_last_slashes("url").alias("bare"))
 
 
+CANNED = f"{answer.__module__}:{answer.__name__}"
+
+
+def q_rest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of which the number of pages isn't known."""
+    spark.dataSource.register(rest.PagedRest)
+    items = spark.read.format("paged_rest").options(url="http://h/diffs", fetch=CANNED).load()
+    return items.select("page", "pos", F.get_json_object("item", "$.new_path").alias("new_path"), "status", "error")
+
+
+def q_rest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a filter names: each is asked for alone."""
+    spark.dataSource.register(rest.KeyedRest)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    found = spark.read.format("keyed_rest").options(url="http://h/merge_requests/{key}", fetch=CANNED).load()
+    return found.filter(F.col("key").isin(*[str(i) for i in range(1, 251)])).select("key", F.get_json_object("item", "$.title").alias("title"), "status", "error")
+
+
+def q_rest_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, versions, raw files and tasks by keys that are rows."""
+    n, project = F.col("event_id"), F.lit("g/p")
+    paths = {"request": sinks.request_path(project, n), "versions": sinks.request_path(project, n, "/versions"), "task": sinks.task_path(F.concat(F.lit("K-"), n.cast("string")))}
+    paths["raw"] = sinks.raw_file_path(project, F.concat(F.lit("src/a b"), n.cast("string")), F.col("event_type"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in paths]), (n % 4 + 1).cast("int"))
+    path = F.coalesce(*[F.when(kind == k, p) for k, p in paths.items()])
+    got = rest.answers(_read(spark, sf_dir, "events").select("event_id", kind.alias("kind"), path.alias("path")), "http://h", fetch=CANNED)
+    version = housekeeping.first_version(F.from_json("answer", f"array<struct<{captured.VERSION}>>"))["head_commit_sha"]
+    request, task = F.from_json("answer", captured.MERGE_REQUEST), F.from_json("answer", f"{captured.TASK[:-1]},n_fields:int>")
+    told = F.when(F.col("kind") == "versions", version).when(F.col("kind") == "request", request["title"]).when(F.col("kind") == "raw", F.col("answer"))
+    return got.select("event_id", "kind", "status", "error_status", "error", told.otherwise(F.concat_ws("/", task["fields"]["summary"], task["fields"]["n_fields"].cast("string"))).alias("told"))
+
+
+def q_publish_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each post: a discussion, a note, or a failure that is its row's alone."""
+    mode = F.when(F.col("event_id") % 3 == 0, publish.INLINE).otherwise(publish.NOTE)
+    plan = _read(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("mr_iid"), mode.alias("publication_mode"), F.concat(F.lit("a & b "), "event_type").alias("body"))
+    out = sinks.published(plan, "g/p", "http://h", F.lit("http://h/1"), ["event_id"], fetch=CANNED)
+    d, n = F.col("discussion"), F.col("note")
+    return out.select("event_id", "publication_mode", "publish_error", F.coalesce(d["id"], n["id"]).alias("id"), d["notes_count"].alias("notes_count"), d["individual_note"].alias("individual_note"), F.coalesce(d["web_url"], n["web_url"]).alias("web_url"), n["body"].alias("note_body"))
+
+
+def q_model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
+    return model.respond(prompts, provider, "system").select("doc_id", F.get_json_object("raw_response", "$.limit").cast("int").alias("max_tokens"), F.get_json_object("raw_response", "$.strict").alias("strict"), "error")
+
+
+def q_model_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = model.response_format()["json_schema"]
+    item = form["schema"]["properties"]["issues"]["items"]
+    return spark.createDataFrame([(form["name"], form["strict"], p, p in item["required"]) for p in item["properties"]], "name string, strict boolean, property string, required boolean")
+
+
+def q_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loaded = settings.load({n: n.lower() for n in settings.REQUIRED} | {"LOG_LEVEL": "warning", "LOG_BACKUP_DAYS": "7"})
+    return spark.createDataFrame([(k, str(v), isinstance(v, int)) for k, v in loaded.items()], "name string, value string, whole boolean")
+
+
+def q_request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request's id, its own or a new one, and its duration."""
+    brought = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("r-"), F.col("event_id").cast("string"))).when(F.col("event_id") % 3 == 0, "")
+    e = _read(spark, sf_dir, "events").select("event_id", request_id(brought).alias("i"), duration_ms(F.col("event_id") / 1024).alias("duration_ms"))
+    return e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("i")).alias("request_id"), F.length("i").alias("id_length"), "duration_ms")
+
+
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 
+_CANNED_SQL = """CASE WHEN {n} % 7 = 0 THEN 404 WHEN {n} % 11 = 0 THEN 403 WHEN {n} % 13 = 0 THEN 500 WHEN {n} % 17 = 0 THEN NULL ELSE 200 END AS status,
+    CASE WHEN {n} % 7 = 0 THEN 404 WHEN {n} % 11 = 0 THEN 403 WHEN {n} % 13 = 0 OR {n} % 17 = 0 THEN 502 END AS e, CASE WHEN {n} % 7 > 0 AND {n} % 11 > 0 AND {n} % 13 > 0 AND {n} % 17 = 0 THEN 'refused' ELSE 'no ' || {n} END AS b"""
+
 ORACLE_SQL = {
     "locate_passages": f"""WITH anchors AS (SELECT item_id AS id, text AS t FROM benchmark), {_FORMS},
         l AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS x FROM (SELECT doc_id, {_lines("text")} AS p FROM documents)), n AS (SELECT doc_id, i, {_norm("x")} AS n, {_compact("x")} AS c FROM l),
@@ -529,4 +598,18 @@ ORACLE_SQL = {
     "paged_scan": """WITH l AS (SELECT l_orderkey, l_linenumber, ((l_linenumber + 1) // 2)::INT AS page FROM lineitem), p AS (SELECT l_orderkey, page, list_sort(list(l_linenumber)) AS items FROM l GROUP BY ALL),
         e AS (SELECT l_orderkey, min(page) FILTER (WHERE (l_orderkey + page) % 5 = 0) AS last FROM p GROUP BY l_orderkey) SELECT l_orderkey, page, unnest(range(len(items)))::INT AS pos, unnest(items) AS item FROM p JOIN e USING (l_orderkey) WHERE last IS NULL OR page <= last""",
     "url_quote": "SELECT page_id, url_encode(url || ' *~é+') AS quoted, rtrim(url, '/') AS bare FROM pages",
+    "rest_scan": "SELECT (i // 100 + 1)::INT AS page, (i % 100)::INT AS pos, 'src/' || i AS new_path, 200 AS status, NULL::VARCHAR AS error FROM range(250) r(i)",
+    "rest_lookup": f"SELECT i::VARCHAR AS key, CASE WHEN e IS NULL THEN 't' || i END AS title, status, e || ': ' || b AS error FROM (SELECT i, {_CANNED_SQL.format(n='i')} FROM range(1, 251) r(i))",
+    "rest_answers": f"""SELECT event_id, kind, status, e AS error_status, e || ': ' || b AS error, CASE WHEN kind = 'task' THEN CASE WHEN e IS NULL THEN 's' || event_id || '/6' ELSE '' END WHEN e IS NOT NULL THEN NULL WHEN kind = 'request' THEN 't' || event_id
+        WHEN kind = 'versions' THEN CASE WHEN event_id % 3 > 0 THEN 'h' || event_id || '-0' END ELSE 'src/a b' || event_id || '/raw@' || event_type END AS told FROM (SELECT event_id, event_type, ['request', 'versions', 'task', 'raw'][event_id % 4 + 1] AS kind, {_CANNED_SQL.format(n='event_id')} FROM events)""",
+    "publish_outcomes": f"""SELECT event_id, CASE WHEN e IS NOT NULL THEN 'failed' WHEN inline THEN 'inline' ELSE 'mr_note' END AS publication_mode, e || ': ' || b AS publish_error, CASE WHEN e IS NULL THEN 'd' || event_id END AS id, CASE WHEN e IS NULL AND inline THEN CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END END::INT AS notes_count,
+        CASE WHEN e IS NULL AND inline THEN event_id % 2 = 0 END AS individual_note, CASE WHEN e IS NOT NULL OR event_id % 5 = 0 THEN NULL WHEN inline THEN '0' ELSE 'http://h/note/' || event_id END AS web_url,
+        CASE WHEN e IS NOT NULL OR inline THEN NULL WHEN event_id % 5 = 0 THEN 'a & b ' || event_type ELSE upper('a & b ' || event_type) END AS note_body FROM (SELECT event_id, event_type, event_id % 3 = 0 AS inline, {_CANNED_SQL.format(n='event_id').replace("ELSE 200", "ELSE 201")} FROM events)""",
+    "model_answers": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents), e AS (SELECT *, CASE WHEN n > 700 AND n % 2 = 1 THEN '500: too long' WHEN n % 5 = 0 THEN '500: empty content' END AS error FROM d)
+        SELECT doc_id, CASE WHEN error IS NULL THEN 5000 END AS max_tokens, CASE WHEN error IS NULL THEN 'true' END AS strict, error FROM e""",
+    "model_schema": """SELECT 'structured_response_schema' AS name, true AS strict, p AS property, r AS required FROM (VALUES ('scope', true), ('severity_score', true), ('confidence_score', true), ('problem_type', true), ('comment', true),
+        ('file_path', false), ('anchor_text', false), ('before_anchor', false), ('after_anchor', false)) t(p, r)""",
+    "settings": """SELECT n AS name, coalesce(v, lower(n)) AS value, n = 'LOG_BACKUP_DAYS' AS whole FROM (VALUES ('MODEL_LLM', NULL), ('BASE_URL', NULL), ('OPENROUTER_API_KEY', NULL), ('GITLAB_URL', NULL), ('GITLAB_TOKEN', NULL), ('GITLAB_PROJECT_ID', NULL), ('JIRA_URL', NULL), ('JIRA_EMAIL', NULL), ('JIRA_API_TOKEN', NULL),
+        ('MATTERMOST_URL', NULL), ('MATTERMOST_BOT_TOKEN', NULL), ('AGENT_CONTEXT_PATH', 'AGENT.md'), ('LOG_DIR', 'logs'), ('LOG_LEVEL', 'WARNING'), ('LOG_FILE_NAME', 'review.log'), ('LOG_BACKUP_DAYS', '7')) t(n, v)""",
+    "request_log": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'r-' || event_id END AS request_id, CASE WHEN event_id % 2 = 0 THEN length('r-' || event_id) ELSE 36 END::INT AS id_length, round(event_id / 1024 * 1000, 2) AS duration_ms FROM events",
 }

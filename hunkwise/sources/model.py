@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 
 from hunkwise.operators.issues import MODEL_OUTPUT_LIMIT, OPTIONAL, PROBLEM_TYPES, SCOPES, SCORES
 
+# Fixed value: the schema's name.
+SCHEMA_NAME = "structured_response_schema"
+
 Provider = Callable[[str, str, dict], str]
 
 
@@ -21,9 +24,14 @@ def response_schema() -> dict:
     return {"type": "object", "properties": {"issues": {"type": "array", "items": issue}}}
 
 
+def response_format() -> dict:
+    """The schema as a provider of structured answers takes it: named, and to be followed strictly."""
+    return {"type": "json_schema", "json_schema": {"name": SCHEMA_NAME, "schema": response_schema(), "strict": True}}
+
+
 def respond(prompts: DataFrame, provider: Provider, system: str, prompt: str = "prompt", max_tokens: int = MODEL_OUTPUT_LIMIT) -> DataFrame:
     """prompts with raw_response and error. A provider's failure is an error of its row alone; an empty answer is one too."""
-    options = {"max_tokens": max_tokens, "schema": response_schema()}
+    options = {"max_tokens": max_tokens, "schema": response_schema(), "response_format": response_format()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

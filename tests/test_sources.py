@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hunkwise.functions.http import duration_ms, error_status, request_id
 from hunkwise.operators import housekeeping, projections, publish
 from hunkwise.sources import captured, model, settings, sinks
-from hunkwise.sources.rest import PagedRest, error_of, page_rows
+from hunkwise.sources.rest import KeyedRest, PagedRest, answers, error_of, page_rows, posted_as
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -118,3 +118,43 @@ def test_null_groups_are_groups(spark):
     assert sorted(r.name for r in housekeeping.to_delete(files, ["folder"], 3).collect()) == ["a.2026-01-01.log", "a.2026-01-02.log"]
     pages = spark.createDataFrame([(None, 1, [1], 2), (None, 2, [2], None), (None, 3, [3], 4)], "g string, page int, items array<int>, next_page int")
     assert sorted((r.g, r.item) for r in housekeeping.in_page_order(pages, ["g"]).collect()) == [(None, 1), (None, 2)]
+
+
+def keyed(spark):
+    spark.dataSource.register(KeyedRest)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("keyed_rest").options(url="http://h/items/{key}", fetch="hunkwise.sources.canned:answer").load()
+
+
+def test_lookup_by_key(spark):
+    df = keyed(spark)
+    got = df.filter("key IN ('1', '7', '2', '1') AND status > 0 AND key <> '2'").collect()
+    assert sorted((r.key, r.status, r.error) for r in got) == [("1", 200, None), ("7", 404, "404: no 7")]
+    assert df.filter("key = '1' AND key = '2'").count() == 0
+    many = df.filter(F.col("key").isin(*[str(i) for i in range(1, 251)]))
+    assert many.rdd.getNumPartitions() == 3 and many.count() == 250
+    with pytest.raises(Exception, match="names its keys"):
+        keyed(spark).count()
+    with pytest.raises(Exception, match="names its keys"):
+        df.filter("status = 200").count()
+
+
+def test_answers_are_of_their_row_alone(spark):
+    rows = spark.createDataFrame([("/a/1", 1.5, "x"), ("/a/7", None, "y"), (None, 2.0, None), ("/a/17", 0.0, None)], "path string, v double, error string")
+    got = {r.path: r for r in answers(rows, "http://h", fetch="hunkwise.sources.canned:answer").collect()}
+    assert {p: (r.status, r.error_status, r.error) for p, r in got.items()} == {"/a/1": (200, None, None), "/a/7": (404, 404, "404: no 7"), None: (None, 502, "502: no path"), "/a/17": (None, 502, "502: refused")}
+    assert got["/a/7"].v is None and got["/a/17"].v == 0.0 and json.loads(got["/a/1"].answer)["title"] == "t1"
+    assert answers(rows.limit(0), "http://h", fetch="hunkwise.sources.canned:answer").count() == 0
+
+
+def test_a_post_tried_again_has_its_key(spark):
+    one = posted_as({"a": "b"}, "http://h/x", b"t")
+    assert one["a"] == "b" and one == posted_as({"a": "b"}, "http://h/x", b"t")
+    assert len({posted_as({}, u, b, k)["Idempotency-Key"] for u in ("x", "y") for b in (b"", b"1") for k in ("", "k")}) == 8
+
+
+def test_inline_posts_have_positions(spark):
+    plan = spark.createDataFrame([(1, 3, "inline", "t"), (2, 7, "mr_note", "t")], "i int, mr_iid int, publication_mode string, body string")
+    got = {r.i: r for r in sinks.published(plan, "g/p", "http://h", F.lit("u"), ["i"], position=F.create_map(F.lit("body"), F.lit("at")), fetch="hunkwise.sources.canned:answer").collect()}
+    assert got[1].discussion.id == "d3" and got[1].discussion.notes_count == 1 and got[1].note is None and got[1].publish_error is None
+    assert (got[2].publication_mode, got[2].publish_error, got[2].discussion, got[2].note) == ("failed", "404: no 7", None, None)
