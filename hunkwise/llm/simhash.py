@@ -117,11 +117,14 @@ def _forest(fps: np.ndarray, comps: np.ndarray, radius: int) -> list[tuple[int,
 
 
 def link_components(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(simhash, component) of distinct fingerprints in `classes` that have a near other; component is the smallest simhash reached."""
+    """(simhash, component) of distinct fingerprints in `classes` that have a near other; component is the smallest simhash reached.
+
+    Spark takes rows of all tables for as large as classes, and would broadcast millions of them from the driver: they are merged.
+    """
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("simhash").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(covering_masks(radius))])
     rows = classes.select("simhash", F.explode(tables).alias("b")).select("simhash", "b.t", "b.key")
     ends = rows.groupBy("t", "key").agg(F.min("simhash").alias("low"), F.max("simhash").alias("high")).filter("low <> high")
-    members = common.stored(rows.join(ends, ["t", "key"]), "buckets")
+    members = common.stored(rows.hint("merge").join(ends, ["t", "key"]), "buckets")
     stars = [members.filter(near(F.col("simhash"), F.col(c), radius)).select(F.col("simhash").alias("a"), F.col(c).alias("b")) for c in ("low", "high")]
     first = common.stored(connected_components(stars[0].union(stars[1])), "components")
     told = members.select("t", "key", "simhash").join(first, members.simhash == first.node, "left").select("t", "key", "simhash", F.coalesce("component", "simhash").alias("component"))

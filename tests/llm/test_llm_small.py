@@ -217,6 +217,14 @@ def test_every_near_pair_meets_in_a_table():
         assert any(m & bits == 0 for m in masks)
 
 
+def test_simhash_broadcasts_no_rows_of_all_tables(spark, monkeypatch):
+    plans, stored = {}, common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), stored(df, name))[1])
+    words = F.concat_ws(" ", F.lit("one two three"), F.col("id").cast("string"))
+    got = simhash.near_duplicates(stored(spark.range(300).select(F.col("id").alias("doc_id"), words.alias("text")), "docs")).collect()
+    assert len(got) == 300 and "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]
+
+
 @pytest.mark.parametrize("block", [3, simhash.BLOCK])
 def test_dense_buckets_in_blocks(spark, block):
     rng = random.Random(6)
